@@ -29,6 +29,29 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), size=1024, end_id=2)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import RULES, judge
+
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return judge(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .quality import fit, held_out, score
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, _table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import write_and_read
 
@@ -36,8 +59,55 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op5_packing, op8_token_files)}
+    return {f.__name__: f for f in (op2_url_filter, op3_license_scan, op4_bpe, op5_packing, op8_token_files, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": _url_filter_sql(), "op3_license_scan": _license_scan_sql()}
+
+
+def _url_filter_sql() -> str:
+    from .url_filter import LOWER, PARTS, RULES, UPPER
+
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    return f"""
+    WITH rules(h, p, v) AS (VALUES {rules}),
+    urls AS (
+      SELECT page_id, row_number() OVER () AS n,
+        translate(coalesce(regexp_extract(url, '{PARTS}', 1), ''), '{UPPER}', '{LOWER}') AS host,
+        coalesce(regexp_extract(url, '{PARTS}', 2), '') AS path
+      FROM pages),
+    fits AS (
+      SELECT n, h || p AS rule, v, row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC, length(h) DESC) AS k
+      FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+    SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+    FROM urls LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
+    """
+
+
+def _license_scan_sql() -> str:
+    from .license_scan import LEAST, LOWER, TEMPLATES, UPPER, bigrams
+
+    rows = ", ".join("('" + name + "', [" + ", ".join(f"'{g}'" for g in bigrams(t)) + "])" for name, t in TEMPLATES)
+    return f"""
+    WITH templates(name, g) AS (VALUES {rows}),
+    lines AS (
+      SELECT n, unnest(string_split(text, chr(10))) AS line
+      FROM (SELECT row_number() OVER () AS n, coalesce(text, '') AS text FROM documents)),
+    worded AS (
+      SELECT n, list_filter(string_split(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w
+      FROM lines),
+    grams AS (
+      SELECT n, row_number() OVER () AS u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+      FROM worded),
+    best AS (
+      SELECT n, u, max(struct_pack(dice := len(list_intersect(grams.g, templates.g)) * 2 / (len(grams.g) + len(templates.g)), name := name)) AS b
+      FROM grams JOIN templates ON len(grams.g) BETWEEN len(templates.g) * ({LEAST} / (2 - {LEAST})) - 1e-9 AND len(templates.g) / ({LEAST} / (2 - {LEAST})) + 1e-9
+      GROUP BY n, u),
+    hits AS (
+      SELECT n, count(*) AS k, string_agg(DISTINCT b.name, ',' ORDER BY b.name) AS licenses, max(b.dice) AS dice
+      FROM best WHERE b.dice >= {LEAST} GROUP BY n)
+    SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines,
+      CAST(coalesce(k, 0) AS BIGINT) AS n_license_lines, coalesce(licenses, '') AS licenses, dice AS best_dice
+    FROM (SELECT *, row_number() OVER () AS n FROM documents) LEFT JOIN hits USING (n)
+    """
