@@ -52,6 +52,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=3, lanes=1, most=2, m=3)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import write_and_read
 
@@ -59,7 +65,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_license_scan, op4_bpe, op5_packing, op8_token_files, op10_quality)}
+    return {f.__name__: f for f in (op2_url_filter, op3_license_scan, op4_bpe, op5_packing, op7_simhash, op8_token_files, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
