@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +49,13 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def tiles(rows: DataFrame, key: list[str], salt: str, block: int) -> DataFrame:
-    """``rows`` with a column ``tile``: buckets of up to ``block`` rows have the one tile 0; the rows of a larger
+    """``rows`` with columns ``tile`` and ``own``: buckets of up to ``block`` rows have the one tile 0; the rows of a larger
     one are dealt into blocks by ``salt``, and each pair of blocks is a tile, so that any two rows of a
     bucket meet in a tile of about two blocks, in whichever task it falls to.
 
-    Tile numbers of blocks i <= j are j (j + 1) / 2 + i. Sizes are counted with map-side sums.
+    Tile numbers of blocks i <= j are j (j + 1) / 2 + i. ``own`` is the row's block, or -1 in the tile of a
+    block with itself: pairs of a tile with two blocks are those whose ``own`` differ. Sizes are counted
+    with map-side sums.
     """
     sizes = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
     sizes = sizes.select(*key, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
@@ -59,7 +64,26 @@ def tiles(rows: DataFrame, key: list[str], salt: str, block: int) -> DataFrame:
     other = F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = with_size.withColumn("_own", F.coalesce(own, F.lit(0))).withColumn("_other", other)
     high, low = F.greatest("_own", "_other").cast("long"), F.least("_own", "_other").cast("long")
-    return dealt.withColumn("tile", (high * (high + 1) / 2).cast("long") + low).drop("_blocks", "_own", "_other")
+    dealt = dealt.withColumn("tile", (high * (high + 1) / 2).cast("long") + low)
+    return dealt.withColumn("own", F.when(F.col("_own") == F.col("_other"), -1).otherwise(F.col("_own"))).drop("_blocks", "_own", "_other")
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables that end where a run of equal keys ends, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        start = runs(*(batch.column(c).to_numpy(zero_copy_only=False) for c in keys))
+        if held and len(start) == 1 and all(held[-1].column(c)[-1] == batch.column(c)[0] for c in keys):
+            held.append(batch)
+            continue
+        cut = int(start[-1])
+        if held or cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:

@@ -30,9 +30,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from .url_filter import RULES, judge
 
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    entries = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in RULES]
+    rules = spark.range(1).select(F.inline(F.array(*entries)))
     return judge(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -52,6 +55,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -65,7 +74,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_license_scan, op4_bpe, op5_packing, op7_simhash, op8_token_files, op10_quality)}
+    return {f.__name__: f for f in (op2_url_filter, op3_license_scan, op4_bpe, op5_packing, op6_vector_dedup, op7_simhash, op8_token_files, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .components import components, runs, stars, tiles
+from .components import components, runs, stars, tiles, whole_runs
 from .shared import stored
 
 SEED = 42
@@ -129,29 +129,13 @@ def link(classes: DataFrame, lanes: int, most: int, m: int, slack: float = 0.0,
         return ok[np.bitwise_count(x[ok] ^ y[ok]).sum(axis=1, dtype=np.int64) <= most]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket and tile; a run may go on in the next batch."""
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            start = runs(*(batch.column(c).to_numpy() for c in ("segment", "value", "tile")))
-            if held and held[0].num_rows:
-                same = all(held[-1].column(c)[-1] == batch.column(c)[0] for c in ("segment", "value", "tile"))
-                if same and len(start) == 1:
-                    held.append(batch)
-                    continue
-            cut_at = int(start[-1])
-            head = batch.slice(0, cut_at)
-            yield from links_of(pa.Table.from_batches([*held, head]))
-            held = [batch.slice(cut_at)]
-        if held:
-            yield from links_of(pa.Table.from_batches(held))
+        for table in whole_runs(batches, ["segment", "value", "tile"]):
+            yield from links_of(table)
 
     def links_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
         n = table.num_rows
         if n < 2:
             return
-        table = table.combine_chunks()
         segment, value, tile, ids = (table.column(c).to_numpy() for c in ("segment", "value", "tile", "id"))
         fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").reshape(n, lanes).astype(np.uint64)
         start = runs(segment, value, tile)
