@@ -45,6 +45,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import search
+
+    return search(_table(spark, sf_dir, "embeddings"), k=5, every=50, times=256)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -74,11 +80,24 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_license_scan, op4_bpe, op5_packing, op6_vector_dedup, op7_simhash, op8_token_files, op10_quality)}
+    return {f.__name__: f for f in (op2_url_filter, op3_license_scan, op4_bpe, op5_packing, op6_vector_dedup, op7_simhash, op8_token_files, op9_topk, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _url_filter_sql(), "op3_license_scan": _license_scan_sql()}
+    return {"op2_url_filter": _url_filter_sql(), "op3_license_scan": _license_scan_sql(), "op9_topk": TOPK_SQL}
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 
 def _url_filter_sql() -> str:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_simhash import groups
 
-from strandline.llm import vector_dedup
+from strandline.llm import topk, vector_dedup
 
 
 def table(spark, rows):
@@ -65,3 +65,44 @@ def test_recall_on_the_given_vectors(spark):
     got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(df).collect()}
     found = sum(got.values())
     assert found >= 0.9 * want.sum() and all(got[r[0]] <= n for r, n in zip(rows, want.tolist(), strict=True))
+
+
+def top(rows, k, every):
+    ok = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v, *_ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for i, q in ok:
+        if i % every == 0:
+            best = sorted((-int(q @ v), j) for j, v in ok if j != i and len(v) == len(q))[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("tree_rows", "query_rows"), [(40, 3), (16_384, 2048)])
+def test_topk(spark, tree_rows, query_rows):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 12)) * 5
+    rows = [(k, (centres[rng.integers(8)] + rng.normal(size=12) * 0.2).tolist()) for k in range(600)]
+    rows += [(700 + k, rows[3][1]) for k in range(9)] + [(k, [0.0] * 12) for k in (800, 801)] + [rows[50]] * 2 + [(-50, rows[7][1])]
+    rows += [(900, None), (950, []), (1000, [None] * 12), (1050, [float("inf")] * 12), (1100, [1.0, 2.0]), (1101, [3.0, -1.0]), (None, rows[1][1])]
+    df = spark.createDataFrame([(i, v, 0, "clash") for i, v in rows], "vec_id long, embedding array<float>, label int, score string").repartition(3)
+    got = sorted(tuple(r) for r in topk.search(df, k=5, every=50, tree_rows=tree_rows, query_rows=query_rows).collect())
+    assert got == top(rows, 5, 50)
+    assert topk.search(df.limit(0)).count() == 0
+
+
+def test_trees_skip_distances():
+    rng = np.random.default_rng(1)
+    v = (rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] * 400 + rng.normal(size=(4000, 16)) * 9).astype(int)
+    tree = topk.Tree.load(topk.Tree(np.arange(4000), v, leaf=64, fan=8).dump())
+    computed = []
+    real = topk.exact
+    try:
+        topk.exact = lambda a, b: computed.append(len(a) * len(b)) or real(a, b)
+        at, row, score = tree.search(np.arange(50), v[:50], 5)
+    finally:
+        topk.exact = real
+    assert sum(computed) < 0.5 * 50 * 4000
+    want = v[:50] @ v.T
+    for q in range(50):
+        mine = sorted(((-s, tree.ids[r]) for a, r, s in zip(at, row, score, strict=True) if a == q))
+        assert mine == sorted((-int(s), j) for j, s in enumerate(want[q].tolist()) if j != q)[:5]
