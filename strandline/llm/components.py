@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, removed
+from .shared import new_path, removed, stored
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -59,7 +59,7 @@ def tiles(rows: DataFrame, key: list[str], salt: str, block: int) -> DataFrame:
     """
     sizes = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
     sizes = sizes.select(*key, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    with_size = rows.join(sizes, key, "left")
+    with_size = rows.join(stored(sizes, "large-buckets"), key, "left")  # as a table its size is known: no join by shuffle unless it is large
     own = F.pmod(F.xxhash64(salt), F.col("_blocks")).cast("int")
     other = F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = with_size.withColumn("_own", F.coalesce(own, F.lit(0))).withColumn("_other", other)

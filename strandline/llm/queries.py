@@ -29,6 +29,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), size=1024, end_id=2)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .line_dedup import dedup
+
+    kept = dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -80,12 +89,37 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_license_scan, op4_bpe, op5_packing, op6_vector_dedup, op7_simhash, op8_token_files, op9_topk, op10_quality)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_license_scan, op4_bpe, op5_packing, op6_vector_dedup, op7_simhash, op8_token_files, op9_topk, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _url_filter_sql(), "op3_license_scan": _license_scan_sql(), "op9_topk": TOPK_SQL}
-
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op2_url_filter": _url_filter_sql(), "op3_license_scan": _license_scan_sql(), "op9_topk": TOPK_SQL}
+
+
+#: Letters beyond ASCII stand as one control character each, since levenshtein() counts bytes.
+_LETTERS = "äöüßÄÖÜéèêçÉÈÊÇáíóúñÁÍÓÚÑ"
+_CONTROLS = " || ".join(f"chr({k})" for k in range(1, len(_LETTERS) + 1 + 1) if k != 10)
+LINE_DEDUP_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, text, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM docs),
+firsts AS (
+  SELECT line, length(line) AS n, min(row(doc_id, pos)) AS place, translate(line, '{_LETTERS}', {_CONTROLS}) AS plain
+  FROM lines WHERE length(line) >= 16 GROUP BY line),
+near AS (
+  SELECT a.line AS a, b.line AS b FROM firsts a JOIN firsts b
+  ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line AND levenshtein(a.plain, b.plain) <= 2),
+reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+ahead AS (
+  SELECT f.line, least(f.place, min(g.place)) AS place
+  FROM firsts f LEFT JOIN reach r ON f.line = r.a LEFT JOIN firsts g ON r.b = g.line GROUP BY f.line, f.place),
+kept AS (
+  SELECT l.doc_id, count(*) AS n, string_agg(l.line, chr(10) ORDER BY l.pos) AS text
+  FROM lines l LEFT JOIN ahead a ON l.line = a.line
+  WHERE length(l.line) < 16 OR a.place = row(l.doc_id, l.pos) GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(d.parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n, 0) AS BIGINT) AS n_kept,
+  CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS text_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
 
 TOPK_SQL = """
 WITH v AS (
