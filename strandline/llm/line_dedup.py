@@ -23,6 +23,9 @@ from .components import components
 from .shared import stored
 
 MOST, SHORTEST = 2, 16
+#: Letters whose numbers in two lines are compared before their pair is made. Any letters do: an edit changes
+#: two of the numbers by one at most.
+LETTERS = "etnirs"
 #: Verification fetches the lines of candidate pairs by a broadcast of their hashes up to so many of them
 #: (8 bytes each), by a shuffled join beyond that.
 BROADCAST = 400_000
@@ -33,53 +36,70 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def edit_distance(a: Column, b: Column, most: int = MOST) -> Column:
-    """Edit distance of strings up to ``most``, and some larger number beyond.
+def with_edit_distance(df: DataFrame, a: str, b: str, most: int = MOST) -> DataFrame:
+    """``df`` with ``distance``, the edit distance of columns ``a`` and ``b`` up to ``most``, and some larger number beyond.
+
+    What both begin or end with alike costs no edits, so most of it goes first. Both need more than 2 most characters.
+    """
+    least = 2 * most + 1
+    a_longer = F.char_length(a) >= F.char_length(b)
+    out = df.withColumns({"_x": F.when(a_longer, F.col(a)).otherwise(F.col(b)), "_y": F.when(a_longer, F.col(b)).otherwise(F.col(a))})
+    out = out.withColumn("_k", _alike(F.col("_x"), F.col("_y"), least))
+    out = out.withColumns({c: F.reverse(F.substring(c, F.col("_k") + 1, F.char_length(c))) for c in ("_x", "_y")})
+    out = out.withColumn("_k", _alike(F.col("_x"), F.col("_y"), least))
+    out = out.withColumns({c: F.split(F.substring(c, F.col("_k") + 1, F.char_length(c)), "") for c in ("_x", "_y")})
+    far = F.size("_x") - F.size("_y") > most
+    return out.withColumn("distance", F.when(far, F.lit(most + 1)).otherwise(_banded(F.col("_x"), F.col("_y"), most))).drop("_x", "_y", "_k")
+
+
+def _alike(x: Column, y: Column, least: int) -> Column:
+    """A number of characters that both begin with; ``least`` of y's stay. Each step tries half as many as the one before."""
+    room = F.greatest(F.char_length(y) - least, F.lit(0))
+    sizes = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: F.floor(room / F.pow(F.lit(2.0), k)).cast("int"))
+    return F.aggregate(sizes, F.lit(0), lambda at, size: F.when(F.substring(x, at + 1, size) == F.substring(y, at + 1, size), at + size).otherwise(at))
+
+
+def _banded(x: Column, y: Column, most: int) -> Column:
+    """Banded bit-parallel edit distance of arrays of characters, x the longer one.
 
     Bit k of a column's state is the cell k - most off the diagonal; the columns follow the shorter
     string, whose character is compared with the 2 most + 1 characters of the longer one in the band.
-    Both strings need more than 2 most characters.
     """
     width = 2 * most + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
 
-    def of(x: Column, y: Column) -> Column:  # arrays of characters, x the longer one
-        n, m = F.size(x), F.size(y)
-        limit = m - n + 2 * most
+    n, m = F.size(x), F.size(y)
+    limit = m - n + 2 * most
 
-        def inverse(v: Column) -> Column:
-            return F.lit(full).cast("bigint") - v.bitwiseAND(full)
+    def inverse(v: Column) -> Column:
+        return F.lit(full).cast("bigint") - v.bitwiseAND(full)
 
-        def step(state: Column, i: Column) -> Column:
-            char = F.get(y, i)
-            equal = sum((F.when(F.get(x, i + (k - most)) == char, F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") if k >= most else F.when((i >= most - k) & (F.get(x, F.greatest(i + (k - most), F.lit(0))) == char), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint")) for k in range(width))
-            vp, vn, d = state["vp"], state["vn"], state["d"]
+    def step(state: Column, i: Column) -> Column:
+        char = F.get(y, i)
+        equal = sum((F.when(F.get(x, i + (k - most)) == char, F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") if k >= most else F.when((i >= most - k) & (F.get(x, F.greatest(i + (k - most), F.lit(0))) == char), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint")) for k in range(width))
+        vp, vn, d = state["vp"], state["vn"], state["d"]
 
-            def cells(e: Column) -> Column:
-                return ((e.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(e).bitwiseOR(vn).bitwiseAND(full)
+        def cells(e: Column) -> Column:
+            return ((e.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(e).bitwiseOR(vn).bitwiseAND(full)
 
-            def moved(d0: Column) -> Column:
-                hp = vn.bitwiseOR(inverse(d0.bitwiseOR(vp)))
-                hn = d0.bitwiseAND(vp)
-                return _let(F.struct(hp.alias("hp"), hn.alias("hn")), lambda h: after(d0, h["hp"], h["hn"]))
+        def moved(d0: Column) -> Column:
+            hp = vn.bitwiseOR(inverse(d0.bitwiseOR(vp)))
+            hn = d0.bitwiseAND(vp)
+            return _let(F.struct(hp.alias("hp"), hn.alias("hn")), lambda h: after(d0, h["hp"], h["hn"]))
 
-            def after(d0: Column, hp: Column, hn: Column) -> Column:
-                half = F.shiftright(d0, 1)
-                along = F.when(d0.bitwiseAND(top) == 0, F.lit(1)).otherwise(F.lit(0))
-                # past the end of x the last row is one bit lower for each column
-                bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.lit(width - 2) - (i - (n - most)), F.lit(0)))
-                level = F.when(hp.bitwiseAND(bit) != 0, F.lit(1)).when(hn.bitwiseAND(bit) != 0, F.lit(-1)).otherwise(F.lit(0))
-                score = d + F.when(i < n - most, along).otherwise(level)
-                return F.struct(hn.bitwiseOR(inverse(half.bitwiseOR(hp))).alias("vp"), half.bitwiseAND(hp).alias("vn"), score.cast("int").alias("d"))
+        def after(d0: Column, hp: Column, hn: Column) -> Column:
+            half = F.shiftright(d0, 1)
+            along = F.when(d0.bitwiseAND(top) == 0, F.lit(1)).otherwise(F.lit(0))
+            # past the end of x the last row is one bit lower for each column
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.lit(width - 2) - (i - (n - most)), F.lit(0)))
+            level = F.when(hp.bitwiseAND(bit) != 0, F.lit(1)).when(hn.bitwiseAND(bit) != 0, F.lit(-1)).otherwise(F.lit(0))
+            score = d + F.when(i < n - most, along).otherwise(level)
+            return F.struct(hn.bitwiseOR(inverse(half.bitwiseOR(hp))).alias("vp"), half.bitwiseAND(hp).alias("vn"), score.cast("int").alias("d"))
 
-            return F.when(d > limit, state).otherwise(_let(equal, lambda e: _let(cells(e), moved)))
+        return F.when(d > limit, state).otherwise(_let(equal, lambda e: _let(cells(e), moved)))
 
-        begin = F.struct(F.lit(full & ~((1 << most) - 1)).cast("bigint").alias("vp"), F.lit(0).cast("bigint").alias("vn"), F.lit(most).cast("int").alias("d"))
-        return F.aggregate(F.sequence(F.lit(0), m - 1), begin, step)["d"]
-
-    a_longer = F.char_length(a) >= F.char_length(b)
-    pair = F.struct(F.split(F.when(a_longer, a).otherwise(b), "").alias("x"), F.split(F.when(a_longer, b).otherwise(a), "").alias("y"))
-    return _let(pair, lambda p: F.when(F.size(p["x"]) - F.size(p["y"]) > most, F.lit(most + 1)).otherwise(of(p["x"], p["y"])))
+    begin = F.struct(F.lit(full & ~((1 << most) - 1)).cast("bigint").alias("vp"), F.lit(0).cast("bigint").alias("vn"), F.lit(most).cast("int").alias("d"))
+    return F.aggregate(F.sequence(F.lit(0), m - 1), begin, step)["d"]
 
 
 def _cut(n: Column, k: int, parts: int) -> Column:
@@ -97,19 +117,37 @@ def probe_keys(line: Column, n: Column, most: int, shortest: int) -> Column:
 
     The segment's shift is at most k by the edits before it and within most - k of ``less`` by those after it, or
     one more edit would have left another segment unchanged. For lines of equal length a shift to the left in one
-    is one to the right in the other, which probes too.
+    is one to the right in the other, which probes too; without a shift their index keys are equal.
     """
     parts, keys = most + 1, []
     for less in range(most + 1):
         m = n - less
         for k in range(parts):
             begin, size = _cut(m, k, parts), _cut(m, k + 1, parts) - _cut(m, k, parts)
-            for shift in range(max(-k, less - (most - k), 0 if less == 0 else -k), min(k, less + (most - k)) + 1):
+            for shift in range(max(-k, less - (most - k), 1 if less == 0 else -k), min(k, less + (most - k)) + 1):
                 inside = (begin + shift >= 0) & (begin + shift + size <= n) & (m >= shortest)
                 keys.append(F.when(inside, F.xxhash64(F.lit(k), m, F.substring(line, begin + shift + 1, size))))
     return F.array(*keys)
 
 
+def sketch(line: Column) -> Column:
+    """The numbers of ``LETTERS`` in a line, modulo 256, a byte each."""
+    out = F.lit(0).cast("bigint")
+    for k, letter in enumerate(LETTERS):
+        count = F.char_length(line) - F.char_length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out + (count % 256).cast("bigint") * (1 << 8 * k)
+    return out
+
+
+def _may_be_near(a: Column, b: Column, most: int) -> Column:
+    """Whether sketches allow ``most`` edits: each changes the numbers by two in sum."""
+    total = F.lit(0)
+    for k in range(len(LETTERS)):
+        apart = F.abs(F.shiftright(a, 8 * k).bitwiseAND(255) - F.shiftright(b, 8 * k).bitwiseAND(255))
+        total = total + F.least(apart, 256 - apart)
+    return total <= 2 * most
+
+
 def kept_lines(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, th, pos) of the lines of at least ``shortest`` characters that stay; th is the text's hash."""
     shortest = max(shortest, 2 * most + 2)
@@ -117,15 +155,18 @@ def kept_lines(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST, text
     lines = rows.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("n", F.char_length("line")).where(F.col("n") >= shortest)
     hashed = lines.withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), F.col("line")))
     first = F.min(F.struct("id", "th", "pos")).alias("first")
-    classes = stored(hashed.groupBy("h", "h2").agg(first).select("h", "h2", "first.*"), "line-classes")
     if most == 0:
-        return classes.select("id", "th", "pos")
-
-    keyed = hashed.select("h", "h2", index_keys(F.col("line"), F.col("n"), most).alias("own"), probe_keys(F.col("line"), F.col("n"), most, shortest).alias("probes"))
-    keyed = keyed.groupBy("h", "h2").agg(F.first("own").alias("own"), F.first("probes").alias("probes"))
-    index = keyed.select(F.explode("own").alias("key"), F.col("h").alias("a"))
-    probes = keyed.select(F.explode("probes").alias("key"), F.col("h").alias("b")).where(F.col("key").isNotNull())
-    pairs = index.join(probes, "key").where(F.col("a") != F.col("b"))
+        return hashed.groupBy("h", "h2").agg(first).select("first.*")
+    keyed = hashed.select("id", "th", "pos", "h", "h2", sketch(F.col("line")).alias("sketch"), index_keys(F.col("line"), F.col("n"), most).alias("own"), probe_keys(F.col("line"), F.col("n"), most, shortest).alias("probes"))
+    keyed = keyed.groupBy("h", "h2").agg(first, *(F.first(c).alias(c) for c in ("sketch", "own", "probes")))
+    keyed = stored(keyed, "line-classes")
+    classes = keyed.select("h", "h2", "first.*")
+    index = keyed.select(F.explode("own").alias("key"), F.col("h").alias("a"), F.col("sketch").alias("a_sketch"))
+    probes = keyed.select(F.explode("probes").alias("key"), F.col("h").alias("b"), F.col("sketch").alias("b_sketch")).where(F.col("key").isNotNull())
+    other = index.select("key", F.col("a").alias("b"), F.col("a_sketch").alias("b_sketch"))
+    near = _may_be_near(F.col("a_sketch"), F.col("b_sketch"), most)
+    pairs = index.join(other, (index["key"] == other["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
+    pairs = pairs.unionByName(index.join(probes, (index["key"] == probes["key"]) & (F.col("a") != F.col("b")) & near).select("a", "b"))
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
 
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-candidates")
@@ -133,8 +174,10 @@ def kept_lines(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST, text
     texts = hashed.select("h", "h2", "line").join(F.broadcast(wanted) if small else wanted, "h", "left_semi").groupBy("h", "h2").agg(F.first("line").alias("line"))
     texts = stored(texts, "line-texts")
     left, right = (texts.select(F.col("h").alias(c), F.col("line").alias(f"{c}_line")) for c in ("a", "b"))
-    near = pairs.join(left, "a").join(right, "b").where(edit_distance(F.col("a_line"), F.col("b_line"), most) <= most)
-    found = components(near.select("a", "b"), "lines")
+    near = pairs.join(left, "a").join(right, "b")
+    # a table, since a filter would be pushed through the projections and multiply their expressions
+    near = stored(with_edit_distance(near, "a_line", "b_line", most).select("a", "b", "distance"), "line-distances")
+    found = components(near.where(F.col("distance") <= most).select("a", "b"), "lines")
     grouped = stored(classes.join(found, classes["h"] == found["id"]).select("component", "h", "h2", classes["id"], "th", "pos"), "line-groups")
     ahead = grouped.groupBy("component").agg(first).select("first.*")
     alone = classes.join(grouped.select("h", "h2"), ["h", "h2"], "left_anti").select("id", "th", "pos")
@@ -149,8 +192,15 @@ def dedup(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST, text: str
     rows = docs.select(*(F.col(f"`{c}`") for c in others)).withColumn("_th", F.xxhash64(F.col(text).cast("string")))
     joined = rows.join(kept.withColumnRenamed("kept", "_kept"), F.col(f"`{id_col}`").eqNullSafe(kept["id"]) & (F.col("_th") == kept["th"]), "left")
     lines = F.split(F.col(f"`{text}`").cast("string"), "\n", -1)
-    short = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.char_length(F.get(lines, i)) < shortest)
-    places = F.array_sort(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), short))
-    out = joined.withColumn("_places", F.when(F.col(f"`{text}`").isNotNull(), places)).withColumn("_lines", lines)
-    new = F.array_join(F.transform("_places", lambda i: F.get(F.col("_lines"), i)), "\n")
-    return out.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in others), F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"), F.when(F.col("_places").isNull(), 0).otherwise(F.size("_places")).cast("long").alias("n_kept"))
+
+    def stay(parts: Column) -> Column:
+        short = F.filter(F.transform(parts, lambda x, i: F.when(F.char_length(x) < shortest, i)), lambda i: i.isNotNull())
+        places = F.array_sort(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), short))
+        return F.struct(F.size(parts).alias("lines"), F.transform(places, lambda i: F.get(parts, i)).alias("kept"))
+
+    # a generated column is computed once, whatever filters and projections follow
+    made = F.when(F.col(f"`{text}`").isNotNull(), _let(lines, stay))
+    out = joined.select(*(F.col(f"`{c}`") for c in others), F.explode(F.array(made)).alias("_stay"))
+    new = F.array_join("_stay.kept", "\n")
+    n_lines, n_kept = F.coalesce("_stay.lines", F.lit(0)), F.coalesce(F.size("_stay.kept"), F.lit(0))
+    return out.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in others), n_lines.cast("long").alias("n_lines"), F.when(F.col("_stay").isNull(), 0).otherwise(n_kept).cast("long").alias("n_kept"))

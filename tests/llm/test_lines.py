@@ -41,9 +41,9 @@ def test_edit_distance(spark, most):
         rows.append((a, edited(rng, a, rng.randint(0, most + 2)) + "ab"[: rng.randint(0, 2)]))
     rows = [r for r in rows if min(map(len, r)) > 2 * most]
     df = spark.createDataFrame(rows, "a string, b string")
-    for r in df.select("a", "b", line_dedup.edit_distance(F.col("a"), F.col("b"), most).alias("d")).collect():
+    for r in line_dedup.with_edit_distance(df, "a", "b", most).collect():
         want = distance(r.a, r.b)
-        assert r.d == want if want <= most else r.d > most
+        assert r.distance == want if want <= most else r.distance > most
 
 
 @pytest.mark.parametrize(("most", "bound"), [(2, 400_000), (2, 0), (1, 400_000), (0, 400_000)])
