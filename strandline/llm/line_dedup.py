@@ -25,7 +25,7 @@ from .shared import stored
 MOST, SHORTEST = 2, 16
 #: Letters whose numbers in two lines are compared before their pair is made. Any letters do: an edit changes
 #: two of the numbers by one at most.
-LETTERS = "etnirs"
+LETTERS = "etaoinshrdlu"
 #: Verification fetches the lines of candidate pairs by a broadcast of their hashes up to so many of them
 #: (8 bytes each), by a shuffled join beyond that.
 BROADCAST = 400_000
@@ -131,11 +131,11 @@ def probe_keys(line: Column, n: Column, most: int, shortest: int) -> Column:
 
 
 def sketch(line: Column) -> Column:
-    """The numbers of ``LETTERS`` in a line, modulo 256, a byte each."""
+    """The numbers of ``LETTERS`` in a line, modulo 32, in five bits each."""
     out = F.lit(0).cast("bigint")
     for k, letter in enumerate(LETTERS):
-        count = F.char_length(line) - F.char_length(F.replace(line, F.lit(letter), F.lit("")))
-        out = out + (count % 256).cast("bigint") * (1 << 8 * k)
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))  # bytes are told faster, and a letter is one
+        out = out + (count % 32).cast("bigint") * (1 << 5 * k)
     return out
 
 
@@ -143,8 +143,8 @@ def _may_be_near(a: Column, b: Column, most: int) -> Column:
     """Whether sketches allow ``most`` edits: each changes the numbers by two in sum."""
     total = F.lit(0)
     for k in range(len(LETTERS)):
-        apart = F.abs(F.shiftright(a, 8 * k).bitwiseAND(255) - F.shiftright(b, 8 * k).bitwiseAND(255))
-        total = total + F.least(apart, 256 - apart)
+        apart = F.abs(F.shiftright(a, 5 * k).bitwiseAND(31) - F.shiftright(b, 5 * k).bitwiseAND(31))
+        total = total + F.least(apart, 32 - apart)
     return total <= 2 * most
 
 
