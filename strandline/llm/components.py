@@ -48,20 +48,20 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def tiles(rows: DataFrame, key: list[str], salt: str, block: int) -> DataFrame:
+def tiles(rows: DataFrame, key: list[str], salt: str, block: int, least: int = 1) -> DataFrame:
     """``rows`` with columns ``tile`` and ``own``: buckets of up to ``block`` rows have the one tile 0; the rows of a larger
     one are dealt into blocks by ``salt``, and each pair of blocks is a tile, so that any two rows of a
     bucket meet in a tile of about two blocks, in whichever task it falls to.
 
     Tile numbers of blocks i <= j are j (j + 1) / 2 + i. ``own`` is the row's block, or -1 in the tile of a
     block with itself: pairs of a tile with two blocks are those whose ``own`` differ. Sizes are counted
-    with map-side sums.
+    with map-side sums. Buckets of under ``least`` rows are left out.
     """
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > (block if least < 2 else least - 1))
     sizes = sizes.select(*key, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    with_size = rows.join(stored(sizes, "large-buckets"), key, "left")  # as a table its size is known: no join by shuffle unless it is large
+    with_size = rows.join(stored(sizes, "large-buckets"), key, "left" if least < 2 else "inner")  # as a table its size is known: no join by shuffle unless it is large
     own = F.pmod(F.xxhash64(salt), F.col("_blocks")).cast("int")
-    other = F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    other = F.explode(F.when(F.coalesce("_blocks", F.lit(1)) == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = with_size.withColumn("_own", F.coalesce(own, F.lit(0))).withColumn("_other", other)
     high, low = F.greatest("_own", "_other").cast("long"), F.least("_own", "_other").cast("long")
     dealt = dealt.withColumn("tile", (high * (high + 1) / 2).cast("long") + low)

@@ -90,13 +90,11 @@ def links(classes: DataFrame, least: float, block: int = BLOCK, **hashing: int)
     """Rows (a, b, n) of ``classes`` (id, node, n, label, v): sums of links n at node a (b null), and a
     forest of links between ids a and b (n null)."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "width", "label", "id", "node", "n", "v", "keys"]
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = batch.column("v")
-            size = np.diff(values.offsets.to_numpy())
+            size = np.diff(batch.column("v").offsets.to_numpy())
             for width in np.unique(size):
                 rows = np.flatnonzero(size == width)
                 part = batch.take(pa.array(rows))
@@ -104,12 +102,9 @@ def links(classes: DataFrame, least: float, block: int = BLOCK, **hashing: int)
                 key = codes(v / np.linalg.norm(v, axis=1, keepdims=True), **hashing).reshape(len(rows), -1)
                 key.sort(axis=1)
                 new = np.c_[np.ones(len(rows), bool), key[:, 1:] != key[:, :-1]]
-                r, c = np.nonzero(new)
-                at = pa.array(r)
-                raw = pa.array([x.tobytes() for x in v], pa.binary())
-                packed = pa.array([k[u].tobytes() for k, u in zip(key, new, strict=True)], pa.binary())
-                cols = [pa.array(key[r, c]), pa.array(np.full(len(r), width, np.int32)), *(part.column(x).take(at) for x in ("label", "id", "node", "n")), raw.take(at), packed.take(at)]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                offsets = np.r_[0, np.cumsum(new.sum(axis=1))].astype(np.int32)
+                cols = [*(part.column(x) for x in ("label", "id", "node", "n", "v")), pa.array(np.full(len(rows), width, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(key[new]))]
+                yield pa.RecordBatch.from_arrays(cols, ["label", "id", "node", "n", "v", "width", "keys"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["label", "bucket", "width", "tile"]):
@@ -122,9 +117,9 @@ def links(classes: DataFrame, least: float, block: int = BLOCK, **hashing: int)
 
     def tile_links(table, bucket, width, own, ids, node, weight):
         n = len(ids)
-        v = np.frombuffer(b"".join(table.column("v").to_pylist()), float).reshape(n, width)
+        v = _scaled(table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, width))
         norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-        keys = [np.frombuffer(k, np.int64) for k in table.column("keys").to_pylist()]
+        keys = [np.array(k) for k in table.column("keys").to_pylist()]
         # keys below this bucket decide whether an earlier bucket has the pair; the same set gives the same number
         low = [k[k < bucket] for k in keys]
         total, a_out, b_out = np.zeros(n, np.int64), [], []
@@ -174,10 +169,13 @@ def links(classes: DataFrame, least: float, block: int = BLOCK, **hashing: int)
             return (has[: len(x)] @ has[len(x) :].T)[i, j] > 0
         return np.concatenate([(has[i[k : k + 20_000]] * has[len(x) + j[k : k + 20_000]]).any(axis=1) for k in range(0, len(i), 20_000)])
 
-    kind = classes.schema["label"].dataType.simpleString()
-    keyed = classes.select("id", "node", "n", "label", "v").mapInArrow(cut, f"bucket bigint, width int, label {kind}, id bigint, node bigint, n bigint, v binary, keys binary")
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
+    schema = f"label {kinds['label']}, id bigint, node bigint, n bigint, v {kinds['v']}, width int, keys array<bigint>"
+    coded = stored(classes.select("id", "node", "n", "label", "v").mapInArrow(code, schema), "vector-codes")
     keys = ["label", "bucket", "width"]
-    dealt = tiles(keyed, keys, "node", block)
+    # buckets are counted and cut by ids alone; vectors join those that share one
+    members = coded.select("label", "width", "node", F.explode("keys").alias("bucket"))
+    dealt = tiles(members, keys, "node", block, least=2).drop("_n").join(coded.select("node", "id", "n", "v", "keys"), "node")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, *keys, "tile").sortWithinPartitions(*keys, "tile")
     return dealt.select(*keys, "tile", "own", "id", "node", "n", "v", "keys").mapInArrow(meet, "a bigint, b bigint, n bigint")
