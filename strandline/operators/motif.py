@@ -129,7 +129,7 @@ def find(sequences: DataFrame, pattern: str, strand: str | None = None, seq_id:
     return (find_regex if is_regex(pattern) else find_literal)(sequences, pattern, strand, **chosen)
 
 
-def as_regions(matches: DataFrame, alias: str, sequences: DataFrame | None = None) -> DataFrame:
+def as_regions(matches: DataFrame, alias: str, sequences: DataFrame | None = None, long_records: bool = False) -> DataFrame:
     """Matches as regions named alias_position of type alias; with ``sequences`` their forward bases too."""
     out = matches.select(
         F.col("seq_id").alias("chr"), F.col("position").alias("start"), (F.col("position") + F.col("match_length")).alias("end"), "strand",
@@ -139,4 +139,4 @@ def as_regions(matches: DataFrame, alias: str, sequences: DataFrame | None = Non
         return out
     from .regions import attach_sequence
 
-    return attach_sequence(out, sequences)
+    return attach_sequence(out, sequences, long_records=long_records)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import cut, region_length
 from ..schema import REGION_COLUMNS
+from .sequences import PIECE, pieces
 
 #: Bases of a bin. Regions meet by bins, so that one long chromosome is many tasks.
 BIN = 1 << 14
@@ -95,8 +96,15 @@ def union(a: DataFrame, b: DataFrame | None = None, size: int = BIN) -> DataFram
     return merged.select("chr", "f.start", "end", "f.strand", F.when(F.col("n_members") > 1, F.lit("union")).otherwise(F.col("f.type")).alias("type"), "f.name", "f.sequence", "n_members")
 
 
-def attach_sequence(regions: DataFrame, sequences: DataFrame, by_name: bool = True) -> DataFrame:
-    """Regions with their forward bases where they have none yet and lie within the sequence."""
+def attach_sequence(regions: DataFrame, sequences: DataFrame, by_name: bool = True, long_records: bool = False) -> DataFrame:
+    """Regions with their forward bases where they have none yet and lie within the sequence.
+
+    With ``long_records`` sequences are cut into pieces, each distinct span gathers its bases from the pieces it
+    touches, and rows join their span, so no row carries a whole sequence. Without ``by_name`` all regions lie on
+    the one sequence given.
+    """
+    if long_records and by_name:
+        return _attach_pieces(regions, sequences)
     seqs = sequences.select(F.col("seq_id").alias("_id"), F.col("sequence").alias("_bases"))
     joined = regions.join(seqs, F.col("chr") == F.col("_id"), "left") if by_name else regions.join(F.broadcast(seqs.limit(1)), F.lit(True), "left")
     size = F.length("_bases")
@@ -105,6 +113,21 @@ def attach_sequence(regions: DataFrame, sequences: DataFrame, by_name: bool = Tr
     return joined.withColumn("sequence", new).select(*regions.columns)
 
 
+def _attach_pieces(regions: DataFrame, sequences: DataFrame) -> DataFrame:
+    pieces_ = pieces(sequences, 0, 0).select(F.col("seq_id").alias("_id"), "offset", "piece")
+    spans = regions.where((F.coalesce("sequence", F.lit("")) == "") & (F.col("start") < F.col("end"))).select("chr", "start", "end").distinct()
+    touched = F.transform(F.sequence(F.floor(F.col("start") / PIECE), F.floor((F.col("end") - 1) / PIECE)), lambda k: k * PIECE)
+    parts = spans.withColumn("_offset", F.explode(touched)).join(pieces_, (F.col("chr") == F.col("_id")) & (F.col("_offset") == F.col("offset")))
+    low, high = F.greatest(F.col("start") - F.col("offset"), F.lit(0)), F.least(F.col("end") - F.col("offset"), F.lit(PIECE))
+    parts = parts.withColumn("part", F.struct("offset", cut(F.col("piece"), low, high).alias("bases")))
+    bases = parts.groupBy("chr", "start", "end").agg(F.sort_array(F.collect_list("part")).alias("parts"))  # a span's own bases
+    found = bases.select(F.col("chr").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.array_join("parts.bases", "").alias("_bases"))
+    found = found.where(F.length("_bases") == F.col("_e") - F.col("_s"))  # the span lies within its sequence
+    joined = regions.join(found, (F.col("chr") == F.col("_c")) & (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e")), "left")
+    own = F.coalesce("sequence", F.lit(""))
+    return joined.withColumn("sequence", F.when(own == "", F.coalesce("_bases", F.lit(""))).otherwise(own)).select(*regions.columns)
+
+
 def type_counts(regions: DataFrame) -> DataFrame:
     return regions.groupBy("type").agg(F.count("*").alias("n"))
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import CONTEXT
+from ..functions.dna import CONTEXT, context
 from .motif import compiled, find_literal, find_regex, is_regex
-from .regions import BIN
+from .regions import BIN, attach_sequence
 
 
 def windows(targets: DataFrame, sequences: DataFrame, distance: float, direction: str, by_name: bool = True) -> DataFrame:
-    """``targets`` with seq_id, ws and we: the ``distance`` bases up- or downstream of each, within its sequence.
+    """``targets`` with seq_id, its length n, ws and we: the ``distance`` bases up- or downstream of each, within its sequence.
 
     Features of the plus strand or none have their upstream side before the start, all others after the end.
     """
@@ -22,7 +22,7 @@ def windows(targets: DataFrame, sequences: DataFrame, distance: float, direction
     before = forward if direction.upper() == "UPSTREAM" else ~forward
     ws = F.when(before, F.greatest(F.col("start") - d, F.lit(0))).otherwise(F.col("end"))
     we = F.when(before, F.col("start")).otherwise(F.least(F.col("end") + d, F.col("_n")))
-    out = joined.withColumn("ws", ws).withColumn("we", F.least(we, F.col("_n"))).drop("_n")
+    out = joined.withColumn("ws", ws).withColumn("we", F.least(we, F.col("_n"))).withColumnRenamed("_n", "n")
     return out.where(F.col("ws") < F.col("we"))
 
 
@@ -50,17 +50,14 @@ def find_within(sequences: DataFrame, pattern: str, targets: DataFrame, distance
         return hits.join(spread, inside).select("seq_id", "position", "match_length", "strand", "context", *["target"] * bool(keep))
     if errors:
         compiled(pattern)
-    bases = sequences.select(F.col("seq_id").cast("string").alias("_id"), F.upper("sequence").alias("_bases"))
-    # a window is a short record of its own; its name carries where it lies
-    cut = spans.join(bases, F.col("seq_id") == F.col("_id")).select("seq_id", "ws", *keep, F.substring("_bases", F.greatest(F.col("ws") - around, F.lit(0)).cast("int") + 1, (F.col("we") - F.greatest(F.col("ws") - around, F.lit(0)) + around).cast("int")).alias("wide"), (F.col("we") - F.col("ws")).alias("size"))
-    lead = F.least(F.col("ws"), F.lit(around).cast("long"))
-    cut = cut.withColumn("key", F.struct("seq_id", "ws", lead.alias("lead"), *["target"] * bool(keep)))
-    unique = cut.select(F.to_json(F.struct("seq_id", "ws", "size", lead.alias("lead"))).alias("name"), "key", "wide", "size")
-    searched = unique.select("name", "wide", F.substring("wide", F.col("key.lead").cast("int") + 1, F.col("size").cast("int")).alias("sequence")).distinct()
-    found = find_regex(searched.select(F.col("name").alias("seq_id"), "sequence"), pattern, strand, around, errors=errors).withColumnRenamed("seq_id", "found")
-    joined = found.join(unique, F.col("found") == F.col("name"))
-    low = F.greatest(F.col("key.lead") + F.col("position") - around, F.lit(0))
-    near = F.substring("wide", low.cast("int") + 1, (F.col("key.lead") + F.col("position") + F.col("match_length") + around - low).cast("int"))
-    return joined.select("key.seq_id", (F.col("key.ws") + F.col("position")).alias("position"), "match_length", "strand", near.alias("context"), *[F.col("key.target").alias("target")] * bool(keep))
-
-
+    # a window with its surroundings is a short record of its own, named by where it lies
+    low, high = F.greatest(F.col("ws") - around, F.lit(0).cast("long")), F.least(F.col("we") + around, F.col("n"))
+    wide = spans.select(F.col("seq_id").alias("chr"), low.alias("start"), high.alias("end"), F.lit("").alias("sequence"), "ws", "we", *keep)
+    named_ = F.to_json(F.struct("chr", "ws", "we"))
+    cut = attach_sequence(wide, sequences.select(F.col("seq_id").cast("string").alias("seq_id"), F.upper("sequence").alias("sequence")), True, long_records).withColumn("name", named_)
+    inner = F.substring("sequence", (F.col("ws") - F.col("start")).cast("int") + 1, (F.col("we") - F.col("ws")).cast("int"))
+    found = find_regex(cut.select(F.col("name").alias("seq_id"), inner.alias("sequence")).distinct(), pattern, strand, around, errors=errors)
+    joined = found.select(F.col("seq_id").alias("found"), "position", "match_length", "strand").join(cut, F.col("found") == F.col("name"))
+    lead = F.col("ws") - F.col("start")
+    near = context(F.col("sequence"), lead + F.col("position"), F.col("match_length"), around)
+    return joined.select(F.col("chr").alias("seq_id"), (F.col("ws") + F.col("position")).alias("position"), "match_length", "strand", near.alias("context"), *["target"] * bool(keep))

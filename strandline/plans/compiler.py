@@ -26,6 +26,8 @@ class Compiler:
         self.annotation: DataFrame | None = None
         self.matrices: dict[str, Pssm] = {}
         self.results: dict[str, DataFrame] = {}
+        #: Results that have their bases already.
+        self.filled: set[str] = set()
 
     def resolve(self, name: str) -> DataFrame:
         if name in self.results:
@@ -44,17 +46,24 @@ class Compiler:
             case Scan():
                 return self._matches(s, self._scan(s))
             case Extract():
-                found = self.resolve(s.entity)
-                if self.sequences is not None:
-                    found = regions.attach_sequence(found, self.sequences, self.semantics.all_records)
-                return self._named(s, self.filtered(found, s.where))
+                return self._named(s, self.filtered(self._with_bases(s.entity), s.where))
             case SetOp():
                 return self._named(s, self.filtered(self._set(s), s.where))
         raise TypeError(s)
 
+    def _attached(self, found: DataFrame) -> DataFrame:
+        if self.sequences is None:
+            return found
+        return regions.attach_sequence(found, self.sequences, self.semantics.all_records, self.long_records)
+
+    def _with_bases(self, name: str) -> DataFrame:
+        return self.resolve(name) if name in self.filled else self._attached(self.resolve(name))
+
     def _named(self, s, found: DataFrame) -> DataFrame:
         if s.alias:
             self.results[s.alias] = found
+            if self.sequences is not None:
+                self.filled.add(s.alias)
         return found
 
     def _find(self, s: Find) -> DataFrame:
@@ -88,25 +97,25 @@ class Compiler:
         all_ = self._regions(matches, s.alias)
         kept = self.filtered(all_, s.where)
         self.results[s.alias] = kept if self.semantics.alias_after_where else all_
+        self.filled.add(s.alias)
         return kept
 
     def _regions(self, matches: DataFrame, alias: str, where=None) -> DataFrame:
         plain = [c for c in matches.columns if c != "score"]
         needs = where is None or any(c.property == "SIMILARITY" for c in compares(where))
         found = motif.as_regions(matches.select(*plain), alias)
-        return regions.attach_sequence(found, self.sequences, self.semantics.all_records) if needs else found
+        return self._attached(found) if needs else found
 
     def _set(self, s: SetOp) -> DataFrame:
-        a, b = self.resolve(s.left), self.resolve(s.right)
-        if self.sequences is not None and s.op != "UNION":
-            a = regions.attach_sequence(a, self.sequences, self.semantics.all_records)
         if s.op == "UNION":
-            if self.sequences is not None and not self.semantics.reslice_union:
-                a, b = (regions.attach_sequence(x, self.sequences, False) for x in (a, b))
+            # merged rows get new bases, or keep their first member's
+            fresh = self.semantics.reslice_union
+            a, b = (self.resolve(x) if fresh else self._with_bases(x) for x in (s.left, s.right))
             out = regions.union(a, b).drop("n_members")
-            if self.sequences is not None and self.semantics.reslice_union:
-                out = regions.attach_sequence(out.withColumn("sequence", F.lit("")), self.sequences, self.semantics.all_records)
+            if fresh:
+                out = self._attached(out.withColumn("sequence", F.lit("")) if self.sequences is not None else out)
             return out.withColumn("ord", F.struct("chr", "start", "end", "strand", "name"))
+        a, b = self._with_bases(s.left), self.resolve(s.right)
         out = regions.intersect(a, b) if s.op == "INTERSECT" else regions.except_(a, b)
         return out.withColumn("ord", F.struct("chr", "start", "end", "strand", "name", F.col("ord").alias("before")))
 

@@ -232,3 +232,21 @@ def test_similarity_filter(spark):
     assert {r.name for r in similarity.filter_similarity(df, ">=", 90).collect()} == {"ref", "same", "far"}
     assert {r.name for r in similarity.filter_similarity(df, "=", 80.4).collect()} == {"ref", "eighty"}
     assert {r.name for r in similarity.filter_similarity(df, "<", 81).collect()} == {"ref", "eighty"}
+
+
+def test_pieces_give_the_bases_of_regions(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(n, "".join(rng.choice("ACGT") for _ in range(size))) for n, size in (("a", 50_000), ("b", 16_384), ("c", 10))], "seq_id string, sequence string")
+    rows = [(n, s, s + rng.choice([0, 1, 7, 20_000]), "+", "t", f"r{k}", "") for k, (n, s) in enumerate((rng.choice("abcd"), rng.randint(0, 50_000)) for _ in range(60))]
+    rows += [("a", 0, 50_000, "+", "t", "all", ""), ("a", 0, 50_001, "+", "t", "over", ""), ("c", 2, 5, "+", "t", "has", "TTT"), ("b", 16_383, 16_384, "+", "t", "last", "")]
+    regs = spark.createDataFrame(rows + rows[:2], "chr string, start long, end long, strand string, type string, name string, sequence string")
+    whole, cut = (sorted(map(tuple, regions.attach_sequence(regs, df, long_records=x).collect())) for x in (False, True))
+    assert whole == cut and any(len(r[6]) == 50_000 for r in cut)
+    regex, long_ = (sorted(map(tuple, within.find_within(df, "AC+G", regs, 300, "UPSTREAM", long_records=x).collect())) for x in (False, True))
+    assert regex == long_ and regex
+
+
+def test_bed(spark, features):
+    from strandline.sources.bed import to_bed
+
+    assert [r.value for r in to_bed(features[0].orderBy("ord").limit(1)).collect()] == ["test_sequence\t10\t20\tgeneA\t0\t+"]
