@@ -53,3 +53,12 @@ def file_system(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+def publish(fs, own: str, path: str) -> None:
+    """Gives a finished file its name; one of the same name is an earlier attempt's, with the same content."""
+    from pyarrow.fs import FileType
+
+    if fs.get_file_info(path).type == FileType.File:
+        fs.delete_file(path)
+    fs.move(own, path)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .byte_bpe import tokenizer
-from .shared import file_system, new_path, stored
+from .shared import file_system, new_path, publish, stored
 
 LENGTH = 1024
 ROWS = 256
@@ -93,8 +93,8 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, length: int
         table = pa.table([pa.chunked_array(ids_out), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], [id_col, "start", "n_tokens"])
         with fs.open_output_stream(f"{own}-docs") as out, pa.ipc.new_stream(out, table.schema) as stream:
             stream.write_table(table, max_chunksize=100_000)
-        fs.move(f"{own}-docs", f"{root}/docs-{shard:06d}.arrow")
-        fs.move(f"{own}-ids", name)
+        publish(fs, f"{own}-docs", f"{root}/docs-{shard:06d}.arrow")
+        publish(fs, f"{own}-ids", name)
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([start], pa.int64())], ["shard", "docs", "tokens"])
 
     return stored(ordered.mapInArrow(run, "shard int, docs long, tokens long"), "manifest")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import file_system, new_path, stored
+from .shared import file_system, new_path, publish, stored
 
 TREE, LEAF, FAN, QUERIES = 16_384, 128, 16, 2048
 #: Integers whose inner products int64 holds for vectors of up to 2^20 components.
@@ -185,7 +185,7 @@ def _write(fs, path: str, data: bytes) -> None:
     own = f"{path}.{TaskContext.get().taskAttemptId()}"
     with fs.open_output_stream(own) as out:
         out.write(data)
-    fs.move(own, path)  # a retried task writes the same again
+    publish(fs, own, path)  # a retried task writes the same again
 
 
 def search(table: DataFrame, k: int = 5, every: int = 50, times: int = 256, vector: str = "embedding", id_col: str = "vec_id", tree_rows: int = TREE, query_rows: int = QUERIES) -> DataFrame:
