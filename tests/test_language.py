@@ -157,3 +157,18 @@ def test_composition_of_sets(spark, folder):
     session.run(HEAD.replace("{dir}", folder) + "EXTRACT GENE AS g;")
     assert names(session.run("EXTRACT g;")[0]) == ["geneA", "geneB"]
     assert "features: gene 2" in session.describe("EXTRACT g;")
+
+
+def test_command_line(spark, folder, capsys, tmp_path):
+    from strandline.plans.__main__ import main
+
+    script = tmp_path / "s.txt"
+    script.write_text(HEAD.replace("{dir}", folder) + "EXTRACT CDS; EXTRACT GENE;")
+    assert main([str(script)]) == 0
+    assert "Found 2 region(s)" in capsys.readouterr().out
+    assert main(["--debug", str(script)]) == 0
+    shown = capsys.readouterr().out
+    assert "Found 1 region(s)" in shown and "name: ann (annotation)" in shown
+    script.write_text("EXTRACT;")
+    assert main([str(script)]) == 1 and "SyntaxErrors" in capsys.readouterr().err
+    assert main([]) == 2
