@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` for operators that are all Python work."""
+    from .shared import spread
+
+    return spread(_table(spark, sf_dir, "documents"))
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -20,13 +27,13 @@ def _vocabulary(name: str) -> str:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_table
 
-    return encode_table(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return encode_table(_spread(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), size=1024, end_id=2)
+    return pack(_spread(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), size=1024, end_id=2)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, held_out, score
 
     docs = _table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, _table(spark, sf_dir, "labels")), keep=["doc_id"])
+    scored = score(_spread(spark, sf_dir), fit(docs, _table(spark, sf_dir, "labels")), keep=["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -79,7 +86,7 @@ def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), words=3, lanes=1, most=2, m=3)
+    return near_duplicates(_spread(spark, sf_dir), words=3, lanes=1, most=2, m=3)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
