@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: Cells of the full matrix; larger alignments are banded.
 FULL = 100_000_000
+#: Cells of an alignment that is done side by side with others.
+SIDE = 1_000_000
 
 
 def _codes(text: str) -> np.ndarray:
@@ -76,10 +78,67 @@ def similarity(query: str, target: str) -> float:
     return same / len(a) * 100.0 if a else 0.0
 
 
+def similarities(query: str, targets: list[str]) -> list[float]:
+    """``similarity`` of one query to many targets; targets of like length are aligned side by side."""
+    out = [0.0] * len(targets)
+    m, side = len(query), []
+    for k, t in enumerate(targets):
+        if m and t and (m + 1) * (len(t) + 1) <= SIDE:
+            side.append(k)
+        else:
+            out[k] = similarity(query, t)
+    side.sort(key=lambda k: len(targets[k]))
+    while side:
+        width = len(targets[side[-1]]) + 1
+        n = max(1, SIDE * 16 // ((m + 1) * width))
+        part, side = side[-n:], side[:-n]
+        for k, value in zip(part, _side_by_side(query, [targets[k] for k in part]), strict=True):
+            out[k] = value
+    return out
+
+
+def _side_by_side(query: str, targets: list[str]) -> list[float]:
+    """As ``align``, a row of all alignments at a time. What fills up shorter targets equals no base, so nothing
+    in it is better than what lies before it."""
+    q, codes = _codes(query), [_codes(t) for t in targets]
+    m, n, b = len(q), max(map(len, codes)), len(codes)
+    t = np.zeros((b, n), np.uint8)
+    for k, c in enumerate(codes):
+        t[k, : len(c)] = c
+    way = np.zeros((m + 1, b, n + 1), np.int8)
+    above, ramp, rows = np.zeros((b, n + 1), np.int32), -GAP * np.arange(n + 1, dtype=np.int32), np.arange(b)
+    best, at_i, at_j = np.zeros(b, np.int32), np.zeros(b, int), np.zeros(b, int)
+    for i in range(1, m + 1):
+        diagonal = above[:, :-1] + np.where(t == q[i - 1], np.int32(MATCH), np.int32(MISMATCH))
+        up = above[:, 1:] + GAP
+        cell = np.zeros((b, n + 1), np.int32)
+        cell[:, 1:] = np.maximum(0, np.maximum(diagonal, up))
+        cell = np.maximum.accumulate(cell + ramp, axis=1) - ramp
+        row = cell[:, 1:]
+        way[i, :, 1:] = np.where(row == 0, 0, np.where(row == diagonal, 1, np.where(row == up, 2, 3)))
+        place = row.argmax(axis=1)
+        top = row[rows, place]
+        new = top > best
+        best[new], at_i[new], at_j[new] = top[new], i, place[new] + 1
+        above = cell
+    out = []
+    for k, text in enumerate(codes):
+        i, j, same, total, mine = int(at_i[k]), int(at_j[k]), 0, 0, way[:, k]
+        while i and j and (step := mine[i, j]):
+            total += 1
+            same += step == 1 and q[i - 1] == text[j - 1]
+            i, j = i - (step != 3), j - (step != 2)
+        out.append(float(same) / total * 100.0 if total else 0.0)
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def _similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for queries, targets in batches:
-        yield pd.Series([similarity(q or "", t or "") for q, t in zip(queries, targets, strict=True)], dtype=float)
+        out = pd.Series(0.0, index=queries.index)
+        for query, rows in targets.fillna("").groupby(queries.fillna("")):
+            out[rows.index] = similarities(query, rows.tolist())
+        yield out
 
 
 def similarity_of(query: Column, target: Column) -> Column:

@@ -19,6 +19,8 @@ def with_similarity(regions: DataFrame, reference: DataFrame | None = None, orde
     first = (regions if reference is None else reference).orderBy(order).limit(1).select(F.col(order).alias("_first"), F.upper("sequence").alias("_query"))
     both = regions.join(F.broadcast(first))  # one row
     texts = both.where(F.col("sequence") != "").select("_query", F.upper("sequence").alias("_text")).distinct()
+    # an alignment is long work for a small row: as many tasks as the session's shuffles have, however few the bytes
+    texts = texts.repartition(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_text")
     scored = texts.withColumn("similarity", similarity_of(F.col("_query"), F.col("_text"))).select("_text", "similarity")
     out = both.join(scored, F.upper("sequence") == F.col("_text"), "left")
     return out.select(*regions.columns, "similarity", (F.col(order) == F.col("_first")).alias("is_first"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions.dna import reverse_complement
 from .functions.pssm import BASES, Pwm, pssm
 from .operators import motif, pwm, regions, within
+from .operators.sequences import spread
 from .operators.similarity import filter_similarity
 from .plans.session import Session
 from .sources.gff3 import derive_promoters, derive_tss
@@ -30,7 +31,7 @@ ORACLE: dict[str, str] = {}
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, sequence) of every document."""
     bases = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^acgtACGT]", ""))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("seq_id"), bases.alias("sequence"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("seq_id"), bases.alias("sequence"))
 
 
 def items(spark: SparkSession, sf_dir: str, gene: str | None = None) -> DataFrame:

@@ -219,6 +219,15 @@ def test_alignment_equals_plain_recursion():
         assert alignment.align(q, t) == (best, a, b)
 
 
+def test_alignments_side_by_side(monkeypatch):
+    rng = random.Random(8)
+    texts = ["", "a"] + ["".join(rng.choice("ACGTacgN") for _ in range(rng.randint(1, 60))) for _ in range(80)]
+    for query in ("ACGTTGCA" * 4, "", "acg", "TTTTTTTTTTTT"):
+        assert alignment.similarities(query, texts) == [alignment.similarity(query, t) for t in texts]
+    monkeypatch.setattr(alignment, "SIDE", 300)
+    assert alignment.similarities("ACGTTGCA", texts) == [alignment.similarity("ACGTTGCA", t) for t in texts]
+
+
 def test_banded_alignment(monkeypatch):
     monkeypatch.setattr(alignment, "FULL", 100)
     assert alignment.similarity("ACGT" * 60, "ACGT" * 60) == 100

@@ -6,7 +6,10 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from strandline import queries
+from strandline.operators import motif
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,7 +44,8 @@ def test_entry(spark):
 def test_plans_push_down(spark):
     plan = queries.QUERIES["extract_type"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "l_extendedprice" not in plan and "Exchange" not in plan
-    plan = queries.QUERIES["find_literal_both"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    seqs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("seq_id"), F.col("text").alias("sequence"))
+    plan = motif.find(seqs, "CACA")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
     plan = queries.QUERIES["region_except"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
