@@ -100,7 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op2_url_filter": _url_filter_sql(), "op3_license_scan": _license_scan_sql(), "op9_topk": TOPK_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op2_url_filter": _url_filter_sql(), "op3_license_scan": _license_scan_sql(), "op6_vector_dedup": VECTOR_DEDUP_SQL, "op9_topk": TOPK_SQL}
 
 
 #: Letters beyond ASCII stand as one control character each, since levenshtein() counts bytes.
@@ -128,6 +128,24 @@ SELECT d.doc_id, CAST(coalesce(len(d.parts), 0) AS BIGINT) AS n_lines, CAST(coal
 FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
+VECTOR_DEDUP_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, n, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+  FROM (SELECT *, row_number() OVER () AS n FROM embeddings)
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.n, a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+smallest AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+numbers AS (SELECT n, count(*) AS k FROM links GROUP BY n),
+rows_ AS (SELECT e.vec_id, v.n FROM (SELECT *, row_number() OVER () AS i FROM embeddings) e LEFT JOIN v ON e.i = v.n AND e.vec_id = v.vec_id)
+SELECT r.vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, least(r.vec_id, coalesce(s.b, r.vec_id)) AS component_id,
+  r.vec_id IS NOT DISTINCT FROM least(r.vec_id, coalesce(s.b, r.vec_id)) AS kept
+FROM rows_ r LEFT JOIN numbers USING (n) LEFT JOIN smallest s ON s.a = r.vec_id
+"""
+
 TOPK_SQL = """
 WITH v AS (
   SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
