@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .bpe import slices
 
 MOST_LINES, CHAIN, STEPS = 128, 16, 60
+#: Bytes of text whose features are made at once; each takes about 80 bytes of arrays meanwhile.
+SLICE = 1_000_000
 KINDS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t\r\x0b\x0c", "point": b".,;:?'\"-()", "call": b"!", "bar": b"|", "sign": b"#$%&*@^~=+<>{}[]\\_/`"}
 CLASS = np.full(256, len(KINDS), np.uint8)  # what is left: control and non-ASCII bytes
 for _k, _chars in enumerate(KINDS.values()):
@@ -212,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 0):
+            for batch in slices(whole, 0, SLICE):
                 data, starts, ends, row = lines_of(batch, 0)
                 start = np.r_[True, row[1:] != row[:-1]]
                 x = line_features(data, starts, ends, start)
@@ -240,7 +242,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, len(keep)):
+            for batch in slices(whole, len(keep), SLICE):
                 data, starts, ends, row = lines_of(batch, len(keep))
                 first = np.r_[True, row[1:] != row[:-1]]
                 good = model.score_lines(line_features(data, starts, ends, first), first)
