@@ -18,6 +18,8 @@ LEAST_QUALITY = 0.3
 #: cosine and so differ in 0.152 of all bits on average, 78 of 512; 86 is one standard deviation more.
 #: Of 32 segments of 16 bits such texts share one or more with a probability of 0.95 or more.
 NEAR = {"words": 5, "lanes": 8, "most": 86, "m": 32, "slack": 1.0}
+#: Texts are near copies if their sets of shingles have this Jaccard similarity; fingerprints only nominate them.
+LEAST_SIMILAR = 0.8
 SEQUENCE = 1024
 
 
@@ -37,7 +39,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; rows that repeat an id and its text are one."""
-    found = simhash.near_duplicates(docs, **NEAR)
+    found = simhash.similar_documents(docs, LEAST_SIMILAR, **NEAR)
     found = stored(found.select("doc_id", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("copy")), "near-copies")
     copies = stored(found.where("copy").select("doc_id").distinct(), "copies")
     repeated = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "repeated-ids")

@@ -10,6 +10,10 @@ size, a tile gives only a forest of its links, and components come from distribu
 
 Null and wordless texts have the fingerprint zero and are linked like any other. Repeated rows share
 their class; an empty table gives an empty one; documents' further columns never enter.
+
+With ``least`` fingerprints are of the sets of shingles and only nominate: what their links connect is a group, and
+within a group texts are linked if the exact Jaccard similarity of their sets is ``least`` or more. Two texts
+without a word are equal.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ SEED = 42
 BLOCK = 4096
 #: Rows whose bits are summed at once; sums of one byte hold up to 255.
 STRIDE = 255
+#: Texts of a block whose sets of shingles are compared; a tile has two blocks.
+VERIFY = 1024
+ROUNDING = 1e-9
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -77,6 +84,28 @@ def fingerprints(docs: DataFrame, words: int, lanes: int = 1, text: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp binary")
 
 
+def set_hash(shingles: np.ndarray) -> int:
+    """64 bits, signed, that tell sets of shingles (ascending hashes) apart."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - 2**63
+
+
+def set_fingerprints(docs: DataFrame, words: int, lanes: int = 1, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, fp, sh): fingerprint and hash of a text's set of shingles."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1):
+                fp, sh = [], []
+                for t in batch.column(1).to_pylist():
+                    shingles = np.unique(shingle_hashes(t or "", words))
+                    fp.append(fingerprint(shingles, lanes).astype(">u8").tobytes())
+                    sh.append(set_hash(shingles))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), pa.array(sh, pa.int64())], ["id", "fp", "sh"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp binary, sh bigint")
+
+
 def segments(bits: int, m: int) -> list[tuple[int, int]]:
     """Bit ranges of m segments whose sizes differ by one at most."""
     cut = [bits * k // m for k in range(m + 1)]
@@ -184,6 +213,86 @@ def link(classes: DataFrame, lanes: int, most: int, m: int, slack: float = 0.0,
     return dealt.select("segment", "value", "tile", "id", "fp").mapInArrow(meet, "a bigint, b bigint")
 
 
+def similar(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of positions with Jaccard similarity ``least`` or more that connect all such pairs.
+
+    A search from link to link: what is reached is not compared again.
+    """
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    known, code = np.unique(np.concatenate(sets), return_inverse=True) if n else (np.empty(0), np.empty(0, np.int64))
+    begin = np.r_[0, np.cumsum(size)]
+    marked = np.zeros(len(known), bool)
+    a_out, b_out, left = [], [], np.arange(n)
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            x = front.pop()
+            able = left[np.minimum(size[left], size[x]) >= least * np.maximum(size[left], size[x]) - ROUNDING]
+            if not len(able):
+                continue
+            own = code[begin[x] : begin[x + 1]]
+            marked[own] = True
+            of = np.repeat(np.arange(len(able)), size[able])
+            places = np.arange(len(of)) - np.repeat(np.cumsum(size[able]) - size[able], size[able]) + np.repeat(begin[able], size[able])
+            both = np.bincount(of, marked[code[places]], minlength=len(able))
+            marked[own] = False
+            new = able[both >= least * (size[able] + size[x] - both) - ROUNDING]  # empty sets: 0 of 0
+            a_out.append(np.full(len(new), x))
+            b_out.append(new)
+            front += new.tolist()
+            left = np.setdiff1d(left, new, assume_unique=True)
+    return tuple(np.concatenate(v) if v else np.empty(0, np.int64) for v in (a_out, b_out))
+
+
+def verified(sets: DataFrame, least: float, block: int = VERIFY) -> DataFrame:
+    """Links (a, b) that connect all similar pairs within the groups of ``sets`` (group, id, sh, shingles)."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, ["group", "tile"]):
+            group, tile, ids = (table.column(c).to_numpy() for c in ("group", "tile", "id"))
+            held = [np.frombuffer(v, np.uint64) for v in table.column("shingles").to_pylist()]
+            start = runs(group, tile)
+            for at, end in zip(start.tolist(), [*start[1:].tolist(), len(ids)], strict=True):
+                a, b = similar(held[at:end], least)
+                if len(a):
+                    a, b = ids[at:end][a], ids[at:end][b]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles(sets, ["group"], "sh", block).repartition(n, "group", "tile").sortWithinPartitions("group", "tile")
+    return dealt.select("group", "tile", "id", "shingles").mapInArrow(meet, "a bigint, b bigint")
+
+
+def _shingle_sets(docs: DataFrame, words: int, text: str, id_col: str) -> DataFrame:
+    """(id, sh, shingles) of documents with an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1):
+                sets = [np.unique(shingle_hashes(t or "", words)) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "sh", "shingles"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id bigint, sh bigint, shingles binary")
+
+
+def similar_documents(docs: DataFrame, least: float, words: int = 5, lanes: int = 8, most: int = 86, m: int = 32, slack: float = 1.0, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """As ``near_duplicates``, with links verified by the Jaccard similarity of the texts' sets of shingles."""
+    prints = stored(set_fingerprints(docs, words, lanes, text, id_col), "fingerprints")
+    classes = stored(prints.groupBy("fp", "sh").agg(F.min("id").alias("id")).where(F.col("id").isNotNull()), "classes")
+    by_print = stored(classes.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "print-classes")
+    found = components(link(by_print, lanes, most, m, slack), "simhash")
+    grouped = by_print.join(found, "id", "left").select("fp", "n", F.coalesce("component", "id").alias("group"))
+    several = grouped.groupBy("group").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("group")
+    members = grouped.join(several, "group", "left_semi").select("fp", "group")
+    nominated = stored(classes.join(members, "fp").select("group", F.col("id").cast("bigint").alias("id"), "sh"), "nominated")
+    own = docs.join(nominated.select(F.col("id").alias("_id")).distinct(), F.col(f"`{id_col}`") == F.col("_id"), "left_semi")
+    sets = _shingle_sets(own, words, text, id_col).groupBy("id", "sh").agg(F.first("shingles").alias("shingles"))
+    sets = stored(nominated.join(sets, ["id", "sh"]), "shingle-sets")
+    linked = components(verified(sets, least), "similar")
+    named = classes.join(linked.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("sh", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(named, "sh", "left").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 1, most: int = 2, m: int = 3, slack: float = 0.0, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row for each document: id, fingerprint (hex), component_id (smallest id reachable by links)."""
     prints = stored(fingerprints(docs, words, lanes, text, id_col), "fingerprints")
