@@ -6,6 +6,12 @@ more needs |A| between |B| least / (2 - least) and |B| (2 - least) / least, so t
 bounds are not compared, and lines with too few words for any template are dropped before their bigrams
 are made. Narrow: no shuffle, DataFrame functions only.
 
+Lines that are no notice by themselves are then compared in windows of one or more consecutive lines (blank ones between
+them are skipped, a notice ends a window) with the templates and with whole licences and headers (``TEXTS``), so wrapped notices
+and paragraphs are found. A window holds at most ``ROOM`` times the bigrams that its template allows, repeats
+included. Of windows that overlap the best one counts, then the longer, then the earlier; each of its lines is a match. Windows
+are made only in documents that hold enough of a template's bigrams for it.
+
 A null text has one empty line. Units with fewer than two words have no bigrams and match nothing.
 Repeated rows get a result each; an empty table gives an empty one. Of templates with the same
 coefficient the one whose name sorts last is the line's.
@@ -15,7 +21,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,6 +44,14 @@ TEMPLATES = [
     ("reserved", "All rights reserved."),
 ]
 
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+#: Whole licences and standard headers; only windows are compared with them.
+TEXTS = [("Apache-2.0", _APACHE), ("BSD-3-Clause", _BSD), ("GPL-3.0-or-later", _GPL), ("MIT", _MIT)]
+ROOM = 2
+
 
 def bigrams(text: str) -> list[str]:
     """The distinct word bigrams of a template, in order."""
@@ -45,26 +59,76 @@ def bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, text: str = "text", id_col: str = "doc_id", spans: bool = False) -> DataFrame:
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _table(made: list[tuple[str, list[str]]], ratio: float) -> Column:
+    return F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g) * ratio - SLACK).alias("low"), F.lit(len(g) / ratio + SLACK).alias("high")) for name, g in made))
+
+
+def _best(grams: Column, table: Column) -> Column:
+    size = F.size(grams)
+    near = F.filter(table, lambda t: (size >= t["low"]) & (size <= t["high"]))
+    return F.array_max(F.transform(near, lambda t: F.struct((F.size(F.array_intersect(grams, t["grams"])) * 2 / (size + F.size(t["grams"]))).alias("dice"), t["name"].alias("name"))))
+
+
+def _windows(rest: Column, table: Column, least: float) -> Column:
+    """Windows (a, b, best) of lines of ``rest`` (line, run, words) that are notices; a window lies in one run."""
+    most = F.array_max(F.transform(table, lambda t: t["high"])) * ROOM + 1
+
+    def from_(a: Column, i: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("words"), F.array().cast("array<struct<a:int,b:int,words:array<string>>>").alias("made"))
+
+        def longer(state: Column, b: Column) -> Column:
+            words = F.concat(state["words"], b["words"])
+            one = F.struct(a["line"].alias("a"), b["line"].alias("b"), words.alias("words"))
+            grown = F.struct(words.alias("words"), F.concat(state["made"], F.array(one)).alias("made"))
+            return F.when((F.size(state["words"]) + F.size(b["words"]) <= most) & (b["run"] == a["run"]), grown).otherwise(state)
+
+        return F.aggregate(F.slice(rest, i + 1, F.size(rest)), start, longer, lambda state: state["made"])
+
+    made = F.flatten(F.transform(rest, from_))
+    scored = F.transform(made, lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), _best(F.array_distinct(_pairs(w["words"])), table).alias("best")))
+    return F.filter(scored, lambda w: w["best"]["dice"] >= least)
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, text: str = "text", id_col: str = "doc_id", spans: bool = False, texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
     """One row for each document: id, n_lines, n_license_lines, licenses, best_dice (and the matches themselves)."""
     made = [(name, grams) for name, t in templates if (grams := bigrams(t))]
+    whole = made + [(name, grams) for name, t in texts if made and (grams := bigrams(t))]
     ratio = least / (2 - least)
     fewest = min((int(len(g) * ratio) for _, g in made), default=0)
-    table = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g) * ratio - SLACK).alias("low"), F.lit(len(g) / ratio + SLACK).alias("high")) for name, g in made))
     lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)
     cased = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER)
     # all that is no word becomes a space; line ends stay
     words = F.transform(F.split(F.regexp_replace(cased, "[^a-z0-9\n]+", " "), "\n", -1), lambda line, i: F.struct(i.alias("line"), F.split(F.trim(line), " ").alias("words")))
-    units = F.filter(words, lambda u: F.size(u["words"]) > max(fewest, 1))
-    grams = F.transform(units, lambda u: F.struct(u["line"].alias("line"), F.array_distinct(F.zip_with(F.slice(u["words"], 1, F.size(u["words"]) - 1), F.slice(u["words"], 2, F.size(u["words"]) - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("grams")))
+    out = docs.select(F.col(id_col), F.size(lines).cast("long").alias("n_lines"), words.alias("words"))
+    if made:
+        units = F.filter("words", lambda u: F.size(u["words"]) > max(fewest, 1))
+        found = F.transform(units, lambda u: F.struct(u["line"].alias("line"), _best(F.array_distinct(_pairs(u["words"])), _table(made, ratio)).alias("best")))
+        out = out.withColumn("single", F.filter(found, lambda m: m["best"]["dice"] >= least))
+        taken = F.transform("single", lambda m: m["line"])
+        rest = F.filter("words", lambda u: (F.element_at(u["words"], 1) != "") & ~F.array_contains(taken, u["line"]))
+        # lines between the same notices are a run
+        rest = F.transform(rest, lambda u: F.struct(u["line"].alias("line"), F.size(F.filter("single", lambda m: m["line"] < u["line"])).alias("run"), u["words"].alias("words")))
+        out = out.select(id_col, "n_lines", "single", rest.alias("rest"))
+        every = F.array(*map(F.lit, dict.fromkeys(g for _, grams in whole for g in grams)))
+        held = F.array_intersect(every, _pairs(F.flatten(F.transform("rest", lambda u: u["words"]))))
+        out = out.withColumn("held", F.when(F.size("rest") > 0, held))
+        # a coefficient of least needs so many of the template's own bigrams
+        out = out.withColumn("able", F.filter(_table(whole, ratio), lambda t: F.size(F.array_intersect(t["grams"], F.col("held"))) >= t["low"]))
+        out = out.withColumn("windows", F.when(F.size("able") > 0, _windows(F.col("rest"), F.col("able"), least)))
 
-    def best(u):
-        size = F.size(u["grams"])
-        near = F.filter(table, lambda t: (size >= t["low"]) & (size <= t["high"]))
-        return F.array_max(F.transform(near, lambda t: F.struct((F.size(F.array_intersect(u["grams"], t["grams"])) * 2 / (size + F.size(t["grams"]))).alias("dice"), t["name"].alias("name"))))
+        def rank(w: Column) -> Column:
+            return F.struct(w["best"]["dice"], w["b"] - w["a"], -w["a"])
 
-    found = F.transform(grams, lambda u: F.struct(u["line"].alias("line"), best(u).alias("best"))) if made else F.array().cast("array<struct<line:int,best:struct<dice:double,name:string>>>")
-    out = docs.select(F.col(id_col), F.size(lines).cast("long").alias("n_lines"), F.filter(found, lambda m: m["best"]["dice"] >= least).alias("matches"))
+        best = F.filter("windows", lambda w: ~F.exists("windows", lambda v: (v["a"] <= w["b"]) & (w["a"] <= v["b"]) & (rank(v) > rank(w))))
+        covered = F.flatten(F.transform(best, lambda w: F.transform(F.filter("rest", lambda u: u["line"].between(w["a"], w["b"])), lambda u: F.struct(u["line"].alias("line"), w["best"].alias("best")))))
+        matches = F.when(F.size("windows") > 0, F.array_sort(F.concat("single", covered))).otherwise(F.col("single"))
+    else:
+        matches = F.array().cast("array<struct<line:int,best:struct<dice:double,name:string>>>")
+    out = out.select(id_col, "n_lines", matches.alias("matches"))
     dice = F.array_max(F.transform("matches", lambda m: m["best"]["dice"]))
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["best"]["name"]))), ",")
     return out.select(id_col, "n_lines", F.size("matches").cast("long").alias("n_license_lines"), names.alias("licenses"), dice.alias("best_dice"), *["matches"] * spans)

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -54,6 +55,19 @@ def test_license_scan(spark):
     assert license_scan.scan(docs, []).agg({"n_license_lines": "max"}).first()[0] == 0
 
 
+def test_wrapped_licenses(spark):
+    wrapped = [(name, "\n".join(textwrap.wrap(t, 80))) for name, t in license_scan.TEXTS]
+    gpl = "\n".join(textwrap.wrap(dict((n, t) for n, t in license_scan.TEMPLATES)["GPL-3.0-or-later"], 70))
+    bsd = "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file."
+    texts = [*wrapped, *license_scan.TEXTS, ("GPL-3.0-or-later", gpl), ("BSD-3-Clause", bsd)]
+    docs = [(k, f"Some words of a text before.\n\n{t}\n\nAnd a few more after it.") for k, (_, t) in enumerate(texts)]
+    docs += [(90, "Nothing of the kind\nin these lines"), (91, "The terms of the licence are\nfree of charge to any person")]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k, (name, t) in enumerate(texts):
+        assert got[k].licenses == name and got[k].best_dice == 1 and got[k].n_license_lines == t.count("\n") + 1
+    assert got[90].n_license_lines == got[91].n_license_lines == 0
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     first = np.array([1, 0, 0, 0, 1, 1, 0, 0], bool)
