@@ -63,6 +63,11 @@ def _pairs(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a generated column: computed once a row, however often lambdas refer to it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def _table(made: list[tuple[str, list[str]]], ratio: float) -> Column:
     return F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g) * ratio - SLACK).alias("low"), F.lit(len(g) / ratio + SLACK).alias("high")) for name, g in made))
 
@@ -103,22 +108,22 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     cased = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER)
     # all that is no word becomes a space; line ends stay
     words = F.transform(F.split(F.regexp_replace(cased, "[^a-z0-9\n]+", " "), "\n", -1), lambda line, i: F.struct(i.alias("line"), F.split(F.trim(line), " ").alias("words")))
-    out = docs.select(F.col(id_col), F.size(lines).cast("long").alias("n_lines"), words.alias("words"))
+    out = docs.select(F.col(id_col), F.size(lines).cast("long").alias("n_lines"), F.explode(F.array(words)).alias("words"))
     if made:
         units = F.filter("words", lambda u: F.size(u["words"]) > max(fewest, 1))
         found = F.transform(units, lambda u: F.struct(u["line"].alias("line"), _best(F.array_distinct(_pairs(u["words"])), _table(made, ratio)).alias("best")))
-        out = out.withColumn("single", F.filter(found, lambda m: m["best"]["dice"] >= least))
+        out = _once(out, "single", F.filter(found, lambda m: m["best"]["dice"] >= least))
         taken = F.transform("single", lambda m: m["line"])
         rest = F.filter("words", lambda u: (F.element_at(u["words"], 1) != "") & ~F.array_contains(taken, u["line"]))
         # lines between the same notices are a run
         rest = F.transform(rest, lambda u: F.struct(u["line"].alias("line"), F.size(F.filter("single", lambda m: m["line"] < u["line"])).alias("run"), u["words"].alias("words")))
-        out = out.select(id_col, "n_lines", "single", rest.alias("rest"))
+        out = _once(out, "rest", rest).drop("words")
         every = F.array(*map(F.lit, dict.fromkeys(g for _, grams in whole for g in grams)))
         held = F.array_intersect(every, _pairs(F.flatten(F.transform("rest", lambda u: u["words"]))))
-        out = out.withColumn("held", F.when(F.size("rest") > 0, held))
+        out = _once(out, "held", F.when(F.size("rest") > 0, held))
         # a coefficient of least needs so many of the template's own bigrams
-        out = out.withColumn("able", F.filter(_table(whole, ratio), lambda t: F.size(F.array_intersect(t["grams"], F.col("held"))) >= t["low"]))
-        out = out.withColumn("windows", F.when(F.size("able") > 0, _windows(F.col("rest"), F.col("able"), least)))
+        out = _once(out, "able", F.filter(_table(whole, ratio), lambda t: F.size(F.array_intersect(t["grams"], F.col("held"))) >= t["low"]))
+        out = _once(out, "windows", F.when(F.size("able") > 0, _windows(F.col("rest"), F.col("able"), least)))
 
         def rank(w: Column) -> Column:
             return F.struct(w["best"]["dice"], w["b"] - w["a"], -w["a"])
@@ -128,7 +133,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
         matches = F.when(F.size("windows") > 0, F.array_sort(F.concat("single", covered))).otherwise(F.col("single"))
     else:
         matches = F.array().cast("array<struct<line:int,best:struct<dice:double,name:string>>>")
-    out = out.select(id_col, "n_lines", matches.alias("matches"))
+    out = out.select(id_col, "n_lines", F.explode(F.array(matches)).alias("matches"))
     dice = F.array_max(F.transform("matches", lambda m: m["best"]["dice"]))
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["best"]["name"]))), ",")
     return out.select(id_col, "n_lines", F.size("matches").cast("long").alias("n_license_lines"), names.alias("licenses"), dice.alias("best_dice"), *["matches"] * spans)
