@@ -7,7 +7,7 @@ its substrings that can be aligned with a segment of a line of its length or up
 are verified by banded bit-parallel edit distance. Links are transitive.
 
 The first line of a class is that of the smallest (id, hash of text, line number). Lines of under ``shortest``
-characters always stay. DataFrame functions only.
+characters are repeats only of lines that are equal; empty lines always stay. DataFrame functions only.
 
 A null text has no lines and stays null; an empty one has one empty line. Rows are told apart by id and
 text: a repeated row has its twin's result, rows that share an id alone are documents of their own. An empty
@@ -149,15 +149,15 @@ def _may_be_near(a: Column, b: Column, most: int) -> Column:
 
 
 def kept_lines(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, th, pos) of the lines of at least ``shortest`` characters that stay; th is the text's hash."""
+    """(id, th, pos) of the lines with characters that stay; th is the text's hash."""
     shortest = max(shortest, 2 * most + 2)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    lines = rows.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("n", F.char_length("line")).where(F.col("n") >= shortest)
+    lines = rows.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("n", F.char_length("line")).where("n > 0")
     hashed = lines.withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), F.col("line")))
     first = F.min(F.struct("id", "th", "pos")).alias("first")
     if most == 0:
         return hashed.groupBy("h", "h2").agg(first).select("first.*")
-    keyed = hashed.select("id", "th", "pos", "h", "h2", sketch(F.col("line")).alias("sketch"), index_keys(F.col("line"), F.col("n"), most).alias("own"), probe_keys(F.col("line"), F.col("n"), most, shortest).alias("probes"))
+    keyed = hashed.select("id", "th", "pos", "h", "h2", sketch(F.col("line")).alias("sketch"), F.when(F.col("n") >= shortest, index_keys(F.col("line"), F.col("n"), most)).alias("own"), F.when(F.col("n") >= shortest, probe_keys(F.col("line"), F.col("n"), most, shortest)).alias("probes"))
     keyed = keyed.groupBy("h", "h2").agg(first, *(F.first(c).alias(c) for c in ("sketch", "own", "probes")))
     keyed = stored(keyed, "line-classes")
     classes = keyed.select("h", "h2", "first.*")
@@ -194,8 +194,8 @@ def dedup(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST, text: str
     lines = F.split(F.col(f"`{text}`").cast("string"), "\n", -1)
 
     def stay(parts: Column) -> Column:
-        short = F.filter(F.transform(parts, lambda x, i: F.when(F.char_length(x) < shortest, i)), lambda i: i.isNotNull())
-        places = F.array_sort(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), short))
+        blank = F.filter(F.transform(parts, lambda x, i: F.when(F.char_length(x) == 0, i)), lambda i: i.isNotNull())
+        places = F.array_sort(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), blank))
         return F.struct(F.size(parts).alias("lines"), F.transform(places, lambda i: F.get(parts, i)).alias("kept"))
 
     # a generated column is computed once, whatever filters and projections follow

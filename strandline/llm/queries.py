@@ -111,10 +111,10 @@ WITH RECURSIVE docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS part
 lines AS (SELECT doc_id, text, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM docs),
 firsts AS (
   SELECT line, length(line) AS n, min(row(doc_id, pos)) AS place, translate(line, '{_LETTERS}', {_CONTROLS}) AS plain
-  FROM lines WHERE length(line) >= 16 GROUP BY line),
+  FROM lines WHERE length(line) > 0 GROUP BY line),
 near AS (
   SELECT a.line AS a, b.line AS b FROM firsts a JOIN firsts b
-  ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line AND levenshtein(a.plain, b.plain) <= 2),
+  ON a.n >= 16 AND b.n >= 16 AND b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line AND levenshtein(a.plain, b.plain) <= 2),
 reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
 ahead AS (
   SELECT f.line, least(f.place, min(g.place)) AS place
@@ -122,7 +122,7 @@ ahead AS (
 kept AS (
   SELECT l.doc_id, count(*) AS n, string_agg(l.line, chr(10) ORDER BY l.pos) AS text
   FROM lines l LEFT JOIN ahead a ON l.line = a.line
-  WHERE length(l.line) < 16 OR a.place = row(l.doc_id, l.pos) GROUP BY l.doc_id)
+  WHERE length(l.line) = 0 OR a.place = row(l.doc_id, l.pos) GROUP BY l.doc_id)
 SELECT d.doc_id, CAST(coalesce(len(d.parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n, 0) AS BIGINT) AS n_kept,
   CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS text_sha256
 FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id

@@ -52,19 +52,19 @@ def test_line_dedup(spark, most, bound, monkeypatch):
     rng = random.Random(7)
     base = ["".join(rng.choice("abcd efg") for _ in range(rng.randint(3, 45))) for _ in range(40)]
     pool = base + [edited(rng, b, rng.randint(1, 3)) for b in base if len(b) > 6 for _ in range(3)]
-    texts = [None, "", "\n\n", base[0], "x" * 70_000, "x" * 69_999 + "y"] + ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(40)]
-    rows = [(k, t, "clash", "en") for k, t in enumerate(texts)] + [(7, texts[7], "clash", "en"), (8, texts[9], "clash", "en"), (None, texts[10], "clash", "en")]
+    texts = [None, "", "\n\n", "short one\nshort one\n\n }", "short one\n }\nshort two", base[0], "x" * 70_000, "x" * 69_999 + "y"] + ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    rows = [(k, t, "clash", "en") for k, t in enumerate(texts)] + [(9, texts[9], "clash", "en"), (8, texts[11], "clash", "en"), (None, texts[12], "clash", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_kept string, lang string").repartition(3)
     got = sorted(((r.doc_id is not None, r.doc_id, r.text or "", r.text is None, r.n_lines, r.n_kept) for r in line_dedup.dedup(df, most=most).collect()), key=str)
     hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
     seen = {}  # line: its first place
     for i, t, *_ in rows:
         for p, line in enumerate((t or "").split("\n") if t is not None else []):
-            if len(line) >= line_dedup.SHORTEST:
+            if line:
                 place = (i is not None, i or 0, hashes[t], p)
                 seen[line] = min(seen.get(line, place), place)
     lines = sorted(seen)
-    near = [(a, b) for k, a in enumerate(lines) for b in lines[k + 1 :] if abs(len(a) - len(b)) <= most and (most and max(len(a), len(b)) < 1000 and distance(a, b) <= most or most and len(a) > 1000)]
+    near = [(a, b) for k, a in enumerate(lines) for b in lines[k + 1 :] if min(len(a), len(b)) >= line_dedup.SHORTEST and abs(len(a) - len(b)) <= most and (most and max(len(a), len(b)) < 1000 and distance(a, b) <= most or most and len(a) > 1000)]
     group = groups(lines, near)
     first = {}
     for line, place in seen.items():
@@ -74,7 +74,7 @@ def test_line_dedup(spark, most, bound, monkeypatch):
         if t is None:
             want.append((i is not None, i, "", True, 0, 0))
             continue
-        stay = [line for p, line in enumerate(t.split("\n")) if len(line) < line_dedup.SHORTEST or first[group[line]] == (i is not None, i or 0, hashes[t], p)]
+        stay = [line for p, line in enumerate(t.split("\n")) if not line or first[group[line]] == (i is not None, i or 0, hashes[t], p)]
         want.append((i is not None, i, "\n".join(stay), False, len(t.split("\n")), len(stay)))
     assert got == sorted(want, key=str)
     assert line_dedup.dedup(df.limit(0)).count() == 0
