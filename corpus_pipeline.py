@@ -31,9 +31,9 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are equal or nearly equal to an earlier one go; so does a document that has none left."""
+    """Lines that are equal or nearly equal to an earlier one go; so does a document that has only empty ones left."""
     done = line_dedup.dedup(docs)
-    done = done.where((F.col("n_kept") > 0) | (F.col("n_lines") == 0))
+    done = done.where((F.col("n_kept") == F.col("n_lines")) | (F.regexp_replace("text", "\n", "") != ""))
     return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
