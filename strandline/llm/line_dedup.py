@@ -6,17 +6,24 @@ Segments of each line are an index by (segment number, length, text); each line
 its substrings that can be aligned with a segment of a line of its length or up to ``most`` less. Pairs that meet
 are verified by banded bit-parallel edit distance. Links are transitive.
 
+A bucket of the index with at most ``COLD`` lines gives pairs, so their number is bounded by that of the probes. The
+lines of a larger one are dealt into blocks of bounded size. A block is one row, in which lines are compared until they
+are connected, and which gives a forest of its links. Some lines of the bucket are in all its blocks. Blocks then
+meet in pairs, except those whose lines are connected by now. Rows thus follow the input, but lines of a large bucket
+that are no near repeats of one another are still compared two by two within these rows.
+
 The first line of a class is that of the smallest (id, hash of text, line number). Lines of under ``shortest``
 characters are repeats only of lines that are equal; empty lines always stay. DataFrame functions only.
 
-A null text has no lines and stays null; an empty one has one empty line. Rows are told apart by id and
-text: a repeated row has its twin's result, rows that share an id alone are documents of their own. An empty
-table gives an empty one; further columns are kept unless their names are those of results.
+A null text has no lines and stays null; an empty one has one empty line. Long texts and lines are worked on
+whole. Rows that share an id alone are documents of their own; of rows that repeat an id and its text any one
+has the lines that stay, the others only empty lines. An empty table gives an empty one. Further columns
+are kept, whatever their names; n_lines and n_kept are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -26,6 +33,10 @@ MOST, SHORTEST = 2, 16
 #: Letters whose numbers in two lines are compared before their pair is made. Any letters do: an edit changes
 #: two of the numbers by one at most.
 LETTERS = "etaoinshrdlu"
+#: A bucket with more index lines than ``COLD`` is hot: it gives no pairs, its lines are compared in tiles.
+COLD = 16
+#: Lines of a block of a hot bucket, and their characters; a tile is two blocks at most, and the pivots.
+BLOCK, BLOCK_CHARS, PIVOTS = 128, 1 << 22, 8
 #: Verification fetches the lines of candidate pairs by a broadcast of their hashes up to so many of them
 #: (8 bytes each), by a shuffled join beyond that.
 BROADCAST = 400_000
@@ -36,20 +47,28 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def with_edit_distance(df: DataFrame, a: str, b: str, most: int = MOST) -> DataFrame:
-    """``df`` with ``distance``, the edit distance of columns ``a`` and ``b`` up to ``most``, and some larger number beyond.
+def edit_distance(a: Column, b: Column, most: int = MOST) -> Column:
+    """The edit distance of two strings up to ``most``, and some larger number beyond.
 
     What both begin or end with alike costs no edits, so most of it goes first. Both need more than 2 most characters.
     """
     least = 2 * most + 1
-    a_longer = F.char_length(a) >= F.char_length(b)
-    out = df.withColumns({"_x": F.when(a_longer, F.col(a)).otherwise(F.col(b)), "_y": F.when(a_longer, F.col(b)).otherwise(F.col(a))})
-    out = out.withColumn("_k", _alike(F.col("_x"), F.col("_y"), least))
-    out = out.withColumns({c: F.reverse(F.substring(c, F.col("_k") + 1, F.char_length(c))) for c in ("_x", "_y")})
-    out = out.withColumn("_k", _alike(F.col("_x"), F.col("_y"), least))
-    out = out.withColumns({c: F.split(F.substring(c, F.col("_k") + 1, F.char_length(c)), "") for c in ("_x", "_y")})
-    far = F.size("_x") - F.size("_y") > most
-    return out.withColumn("distance", F.when(far, F.lit(most + 1)).otherwise(_banded(F.col("_x"), F.col("_y"), most))).drop("_x", "_y", "_k")
+
+    def two(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def rest(s: Column) -> Column:
+        """Both without most of what they begin with alike, and from right to left."""
+        return _let(_alike(s["x"], s["y"], least), lambda k: two(*(F.reverse(F.substring(s[c], k + 1, F.char_length(s[c]))) for c in "xy")))
+
+    def letters(s: Column) -> Column:
+        return two(F.split(s["x"], ""), F.split(s["y"], ""))
+
+    def banded(s: Column) -> Column:
+        return F.when(F.size(s["x"]) - F.size(s["y"]) > most, F.lit(most + 1)).otherwise(_banded(s["x"], s["y"], most))
+
+    ordered = F.when(F.char_length(a) >= F.char_length(b), two(a, b)).otherwise(two(b, a))
+    return _let(ordered, lambda s: _let(rest(s), lambda r: _let(rest(r), lambda q: _let(letters(q), banded))))
 
 
 def _alike(x: Column, y: Column, least: int) -> Column:
@@ -148,37 +167,129 @@ def _may_be_near(a: Column, b: Column, most: int) -> Column:
     return total <= 2 * most
 
 
+def forest(members: Column, most: int) -> Column:
+    """Links (a, b) that connect what is near among ``members`` (node, side, sketch, line, comp), in one row.
+
+    Members with the same ``comp`` are connected already, two without ``side`` are not compared. Whatever has become
+    connected meanwhile is not compared either, so there are fewer links than members.
+    """
+    link = "array<struct<a:bigint,b:bigint>>"
+    start = F.struct(F.transform(members, lambda m: m["comp"]).alias("label"), F.array().cast(link).alias("links"))
+
+    def at(state: Column, i: Column, j: Column) -> Column:
+        x, y, old, new = F.get(members, i), F.get(members, j), F.get(state["label"], i), F.get(state["label"], j)
+        meet = (old != new) & (x["side"] | y["side"]) & _may_be_near(x["sketch"], y["sketch"], most) & (edit_distance(x["line"], y["line"], most) <= most)
+        joined = F.transform(state["label"], lambda c: F.when(c == old, new).otherwise(c))
+        one = F.array(F.struct(x["node"].alias("a"), y["node"].alias("b"))).cast(link)
+        return F.when(meet, F.struct(joined.alias("label"), F.concat(state["links"], one).alias("links"))).otherwise(state)
+
+    def all_before(state: Column, i: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), i - 1), state, lambda s, j: at(s, i, j))
+
+    links = F.aggregate(F.sequence(F.lit(1), F.size(members) - 1), start, all_before, lambda s: s["links"])
+    return F.when(F.size(members) > 1, links)
+
+
+def _linked(rows: DataFrame, texts: DataFrame, tile: list[str], most: int) -> DataFrame:
+    """Links (a, b) within the tiles of ``rows`` (tile columns, h, side, comp or none)."""
+    comp = F.col("comp") if "comp" in rows.columns else F.col("node").alias("comp")
+    member = F.struct("node", "side", sketch(F.col("line")).alias("sketch"), "line", comp)
+    held = rows.join(texts, "h").groupBy(*tile).agg(F.collect_set(member).alias("members"))  # tiles have a bounded size
+    return held.select(F.explode(forest(F.col("members"), most)).alias("link")).select("link.*")
+
+
+def _blocks(n: Column, size: Column) -> Column:
+    return F.ceil(F.greatest(n / BLOCK, size / BLOCK_CHARS)).cast("int")
+
+
+def _hot_first(members: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """Links within blocks of each hot bucket. ``PIVOTS`` of a bucket's lines are in all its blocks, so what is near to them
+    becomes connected across blocks."""
+    dealt = members.where("blocks = 1").select("key", F.lit(0).alias("block"), "h", "side")
+    several = members.where("blocks > 1")
+    dealt = dealt.unionByName(several.select("key", F.pmod(F.xxhash64("h"), "blocks").cast("int").alias("block"), "h", "side"))
+    smallest = [F.min(F.struct(F.xxhash64("h", F.lit(k)), "h", "side")).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = several.groupBy("key", "blocks").agg(*smallest).select("key", "blocks", F.explode(F.array(*(F.struct(f"p{k}.h", f"p{k}.side") for k in range(PIVOTS)))).alias("p"))
+    pivots = pivots.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "p.h", "p.side")
+    return _linked(dealt.unionByName(pivots), texts, ["key", "block"], most)
+
+
+def _hot_rest(members: DataFrame, texts: DataFrame, found: DataFrame, most: int) -> DataFrame | None:
+    """Links between lines of hot buckets that have not met: blocks of one component each, and blocks of lines from small
+    components, are paired, but no component with itself."""
+    known = found.select(F.col("id").alias("node"), "component")
+    named = members.where("blocks > 1").join(texts.select("h", "node", F.char_length("line").alias("n")), "h").join(known, "node", "left")
+    named = stored(named.select("key", "h", "side", F.coalesce("component", "node").alias("comp"), "n"), "line-hot-named")
+    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    large = sizes.select("key", "comp", (_blocks(F.col("k"), F.col("n")) > 1).alias("large"), "k", "n")
+    grouped = large.groupBy("key", F.when(F.col("large"), F.col("comp")).alias("own")).agg(_blocks(F.sum("k"), F.sum("n")).alias("blocks"))
+    blocks = grouped.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select("key", "own", F.xxhash64("key", "own", "k").alias("block"))
+    one, other = (blocks.select("key", F.col("own").alias(f"own_{c}"), F.col("block").alias(c)) for c in ("i", "j"))
+    meet = (F.col("i") <= F.col("j")) & (F.col("own_i").isNull() | F.col("own_j").isNull() | (F.col("own_i") != F.col("own_j")))
+    pairs = stored(one.join(other, "key").where(meet).select("key", "i", "j"), "line-tiles")
+    if pairs.isEmpty():
+        return None
+    own = F.when(F.col("large"), F.col("comp"))
+    placed = named.join(large.select("key", "comp", "large"), ["key", "comp"]).withColumn("own", own)
+    placed = placed.join(grouped.select(F.col("key").alias("g"), F.col("own").alias("g_own"), "blocks"), (F.col("key") == F.col("g")) & F.col("own").eqNullSafe(F.col("g_own")))
+    placed = placed.select(F.xxhash64("key", "own", F.pmod(F.xxhash64("h"), "blocks").cast("int")).alias("block"), "h", "side", "comp")
+    tiles = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return _linked(placed.join(tiles, "block"), texts, ["i", "j"], most)
+
+
 def kept_lines(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, th, pos) of the lines with characters that stay; th is the text's hash."""
     shortest = max(shortest, 2 * most + 2)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").isNotNull()).withColumn("th", F.xxhash64("text"))
     lines = rows.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("n", F.char_length("line")).where("n > 0")
     hashed = lines.withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), F.col("line")))
     first = F.min(F.struct("id", "th", "pos")).alias("first")
     if most == 0:
         return hashed.groupBy("h", "h2").agg(first).select("first.*")
-    keyed = hashed.select("id", "th", "pos", "h", "h2", sketch(F.col("line")).alias("sketch"), F.when(F.col("n") >= shortest, index_keys(F.col("line"), F.col("n"), most)).alias("own"), F.when(F.col("n") >= shortest, probe_keys(F.col("line"), F.col("n"), most, shortest)).alias("probes"))
+    long = F.col("n") >= shortest
+    keyed = hashed.select("id", "th", "pos", "h", "h2", sketch(F.col("line")).alias("sketch"), F.when(long, index_keys(F.col("line"), F.col("n"), most)).alias("own"), F.when(long, probe_keys(F.col("line"), F.col("n"), most, shortest)).alias("probes"))
     keyed = keyed.groupBy("h", "h2").agg(first, *(F.first(c).alias(c) for c in ("sketch", "own", "probes")))
     keyed = stored(keyed, "line-classes")
     classes = keyed.select("h", "h2", "first.*")
-    index = keyed.select(F.explode("own").alias("key"), F.col("h").alias("a"), F.col("sketch").alias("a_sketch"))
-    probes = keyed.select(F.explode("probes").alias("key"), F.col("h").alias("b"), F.col("sketch").alias("b_sketch")).where(F.col("key").isNotNull())
-    other = index.select("key", F.col("a").alias("b"), F.col("a_sketch").alias("b_sketch"))
+    index = keyed.select(F.explode("own").alias("key"), "h", "sketch")
+    probes = keyed.select(F.explode("probes").alias("key"), "h", "sketch").where(F.col("key").isNotNull())
+    hot = stored(index.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > COLD).select("key"), "line-hot-keys")
+
+    # a bucket of few index lines gives each line that meets them as few pairs
+    cold, asking = index.join(hot, "key", "left_anti"), probes.join(hot, "key", "left_anti")
+    one = cold.select("key", F.col("h").alias("a"), F.col("sketch").alias("a_sketch"))
     near = _may_be_near(F.col("a_sketch"), F.col("b_sketch"), most)
-    pairs = index.join(other, (index["key"] == other["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
-    pairs = pairs.unionByName(index.join(probes, (index["key"] == probes["key"]) & (F.col("a") != F.col("b")) & near).select("a", "b"))
+    pairs = one.join(cold.select("key", F.col("h").alias("b"), F.col("sketch").alias("b_sketch")), "key").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    pairs = pairs.unionByName(one.join(asking.select("key", F.col("h").alias("b"), F.col("sketch").alias("b_sketch")), "key").where((F.col("a") != F.col("b")) & near).select("a", "b"))
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
 
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h"))
+    some_hot = not hot.isEmpty()
+    if some_hot:
+        members = index.select("key", "h", F.lit(True).alias("side")).unionByName(probes.select("key", "h", F.lit(False).alias("side")))
+        members = stored(members.join(hot, "key").groupBy("key", "h").agg(F.max("side").alias("side")), "line-hot-members")
+        wanted = wanted.unionByName(members.select("h"))
+    wanted = stored(wanted.distinct(), "line-candidates")
     small = wanted.count() <= BROADCAST
     texts = hashed.select("h", "h2", "line").join(F.broadcast(wanted) if small else wanted, "h", "left_semi").groupBy("h", "h2").agg(F.first("line").alias("line"))
-    texts = stored(texts, "line-texts")
-    left, right = (texts.select(F.col("h").alias(c), F.col("line").alias(f"{c}_line")) for c in ("a", "b"))
-    near = pairs.join(left, "a").join(right, "b")
+    # lines that share h but not h2 get nodes of their own
+    turn = F.row_number().over(Window.partitionBy("h").orderBy("h2"))
+    texts = stored(texts.withColumn("node", F.when(turn == 1, F.col("h")).otherwise(F.xxhash64("h", "h2"))), "line-texts")
+    lined = texts.select("h", "node", "line")
+    left, right = (lined.select(F.col("h").alias(c), F.col("node").alias(f"{c}_node"), F.col("line").alias(f"{c}_line")) for c in ("a", "b"))
     # a table, since a filter would be pushed through the projections and multiply their expressions
-    near = stored(with_edit_distance(near, "a_line", "b_line", most).select("a", "b", "distance"), "line-distances")
-    found = components(near.where(F.col("distance") <= most).select("a", "b"), "lines")
-    grouped = stored(classes.join(found, classes["h"] == found["id"]).select("component", "h", "h2", classes["id"], "th", "pos"), "line-groups")
+    near = stored(pairs.join(left, "a").join(right, "b").select("a_node", "b_node", edit_distance(F.col("a_line"), F.col("b_line"), most).alias("distance")), "line-distances")
+    links = near.where(F.col("distance") <= most).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    if some_hot:
+        sizes = members.join(lined.select("h", F.char_length("line").alias("n")), "h").groupBy("key").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+        members = stored(members.join(sizes, "key"), "line-hot-dealt")
+        links = links.unionByName(stored(_hot_first(members, lined, most), "line-hot-links"))
+    found = components(links, "lines")
+    if some_hot and (rest := _hot_rest(members, lined, found, most)) is not None:
+        links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(stored(rest, "line-hot-rest"))
+        found = components(links, "lines")
+    grouped = classes.join(texts.select("h", "h2", "node"), ["h", "h2"]).join(found, F.col("node") == found["id"])
+    grouped = stored(grouped.select("component", "h", "h2", classes["id"], "th", "pos"), "line-groups")
     ahead = grouped.groupBy("component").agg(first).select("first.*")
     alone = classes.join(grouped.select("h", "h2"), ["h", "h2"], "left_anti").select("id", "th", "pos")
     return alone.unionByName(ahead)
@@ -186,21 +297,31 @@ def kept_lines(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST, text
 
 def dedup(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with the text of the lines that stay, n_lines and n_kept."""
-    shortest = max(shortest, 2 * most + 2)
     kept = kept_lines(docs, most, shortest, text, id_col).groupBy("id", "th").agg(F.collect_list("pos").alias("kept"))  # at most a document's lines
-    others = [c for c in docs.columns if c not in ("n_lines", "n_kept", "_th", "_kept")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in others)).withColumn("_th", F.xxhash64(F.col(text).cast("string")))
-    joined = rows.join(kept.withColumnRenamed("kept", "_kept"), F.col(f"`{id_col}`").eqNullSafe(kept["id"]) & (F.col("_th") == kept["th"]), "left")
-    lines = F.split(F.col(f"`{text}`").cast("string"), "\n", -1)
+    others = [c for c in docs.columns if c not in (text, "n_lines", "n_kept")]
+    held = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("string")
+    rows = docs.select(held.alias("rest"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    twin = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th"))
+    kept = kept.select(F.col("id").alias("k_id"), F.col("th").alias("k_th"), "kept")
+    repeated = stored(rows.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("k_id"), F.col("th").alias("k_th")), "repeated-rows")
+    if repeated.isEmpty():
+        joined = rows.join(kept, twin, "left")
+    else:  # of rows that repeat an id and its text the first alone has the lines that stay
+        again = stored(rows.join(repeated, twin, "left_semi").withColumn("turn", F.monotonically_increasing_id()), "rows-again")
+        first = again.groupBy(F.col("id").alias("k_id"), F.col("th").alias("k_th")).agg(F.min("turn").alias("first")).join(kept, ["k_id", "k_th"], "left")
+        again = again.join(first, twin).select("rest", "id", "text", "th", F.when(F.col("turn") == F.col("first"), F.col("kept")).alias("kept"))
+        joined = rows.join(repeated, twin, "left_anti").join(kept, twin, "left").select("rest", "id", "text", "th", "kept").unionByName(again)
 
     def stay(parts: Column) -> Column:
         blank = F.filter(F.transform(parts, lambda x, i: F.when(F.char_length(x) == 0, i)), lambda i: i.isNotNull())
-        places = F.array_sort(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), blank))
+        places = F.array_sort(F.concat(F.coalesce("kept", F.array().cast("array<int>")), blank))
         return F.struct(F.size(parts).alias("lines"), F.transform(places, lambda i: F.get(parts, i)).alias("kept"))
 
     # a generated column is computed once, whatever filters and projections follow
-    made = F.when(F.col(f"`{text}`").isNotNull(), _let(lines, stay))
-    out = joined.select(*(F.col(f"`{c}`") for c in others), F.explode(F.array(made)).alias("_stay"))
-    new = F.array_join("_stay.kept", "\n")
-    n_lines, n_kept = F.coalesce("_stay.lines", F.lit(0)), F.coalesce(F.size("_stay.kept"), F.lit(0))
-    return out.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in others), n_lines.cast("long").alias("n_lines"), F.when(F.col("_stay").isNull(), 0).otherwise(n_kept).cast("long").alias("n_kept"))
+    made = F.when(F.col("text").isNotNull(), _let(F.split("text", "\n", -1), stay))
+    out = joined.select("rest", F.explode(F.array(made)).alias("stay"))
+    new = F.array_join("stay.kept", "\n")
+    n_lines, n_kept = F.coalesce("stay.lines", F.lit(0)), F.when(F.col("stay").isNull(), 0).otherwise(F.size("stay.kept"))
+    kinds = {f.name for f in docs.schema} - {"n_lines", "n_kept"}
+    columns = [new.alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns if c in kinds]
+    return out.select(*columns, n_lines.cast("long").alias("n_lines"), n_kept.cast("long").alias("n_kept"))
