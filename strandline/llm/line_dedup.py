@@ -30,9 +30,9 @@ from .components import components
 from .shared import stored
 
 MOST, SHORTEST = 2, 16
-#: Letters whose numbers in two lines are compared before their pair is made. Any letters do: an edit changes
-#: two of the numbers by one at most.
-LETTERS = "etaoinshrdlu"
+#: Letters whose numbers in two lines of a tile are compared before their edit distance. Any letters do: an edit
+#: changes two of the numbers by one at most.
+LETTERS = "etaoin"
 #: A bucket with more index lines than ``COLD`` is hot: it gives no pairs, its lines are compared in tiles.
 COLD = 16
 #: Lines of a block of a hot bucket, and their characters; a tile is two blocks at most, and the pivots.
@@ -247,20 +247,19 @@ def kept_lines(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST, text
     if most == 0:
         return hashed.groupBy("h", "h2").agg(first).select("first.*")
     long = F.col("n") >= shortest
-    keyed = hashed.select("id", "th", "pos", "h", "h2", sketch(F.col("line")).alias("sketch"), F.when(long, index_keys(F.col("line"), F.col("n"), most)).alias("own"), F.when(long, probe_keys(F.col("line"), F.col("n"), most, shortest)).alias("probes"))
-    keyed = keyed.groupBy("h", "h2").agg(first, *(F.first(c).alias(c) for c in ("sketch", "own", "probes")))
+    keyed = hashed.select("id", "th", "pos", "h", "h2", F.when(long, index_keys(F.col("line"), F.col("n"), most)).alias("own"), probe_keys(F.col("line"), F.col("n"), most, shortest).alias("probes"))
+    keyed = keyed.groupBy("h", "h2").agg(first, *(F.first(c).alias(c) for c in ("own", "probes")))
     keyed = stored(keyed, "line-classes")
     classes = keyed.select("h", "h2", "first.*")
-    index = keyed.select(F.explode("own").alias("key"), "h", "sketch")
-    probes = keyed.select(F.explode("probes").alias("key"), "h", "sketch").where(F.col("key").isNotNull())
+    index = keyed.select(F.explode("own").alias("key"), "h")
+    probes = keyed.select(F.explode("probes").alias("key"), "h").where(F.col("key").isNotNull())
     hot = stored(index.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > COLD).select("key"), "line-hot-keys")
 
     # a bucket of few index lines gives each line that meets them as few pairs
     cold, asking = index.join(hot, "key", "left_anti"), probes.join(hot, "key", "left_anti")
-    one = cold.select("key", F.col("h").alias("a"), F.col("sketch").alias("a_sketch"))
-    near = _may_be_near(F.col("a_sketch"), F.col("b_sketch"), most)
-    pairs = one.join(cold.select("key", F.col("h").alias("b"), F.col("sketch").alias("b_sketch")), "key").where((F.col("a") < F.col("b")) & near).select("a", "b")
-    pairs = pairs.unionByName(one.join(asking.select("key", F.col("h").alias("b"), F.col("sketch").alias("b_sketch")), "key").where((F.col("a") != F.col("b")) & near).select("a", "b"))
+    one = cold.select("key", F.col("h").alias("a"))
+    pairs = one.join(cold.select("key", F.col("h").alias("b")), "key").where("a < b").select("a", "b")
+    pairs = pairs.unionByName(one.join(asking.select("key", F.col("h").alias("b")), "key").where("a <> b").select("a", "b"))
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h"))
