@@ -100,7 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op2_url_filter": _url_filter_sql(), "op3_license_scan": _license_scan_sql(), "op6_vector_dedup": VECTOR_DEDUP_SQL, "op9_topk": TOPK_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op2_url_filter": _url_filter_sql(), "op3_license_scan": LICENSE_SCAN_SQL, "op6_vector_dedup": VECTOR_DEDUP_SQL, "op9_topk": TOPK_SQL}
 
 
 #: Letters beyond ASCII stand as one control character each, since levenshtein() counts bytes.
@@ -178,29 +178,41 @@ def _url_filter_sql() -> str:
     """
 
 
-def _license_scan_sql() -> str:
-    from .license_scan import LEAST, LOWER, TEMPLATES, UPPER, bigrams
-
-    rows = ", ".join("('" + name + "', [" + ", ".join(f"'{g}'" for g in bigrams(t)) + "])" for name, t in TEMPLATES)
-    return f"""
-    WITH templates(name, g) AS (VALUES {rows}),
-    lines AS (
-      SELECT n, unnest(string_split(text, chr(10))) AS line
-      FROM (SELECT row_number() OVER () AS n, coalesce(text, '') AS text FROM documents)),
-    worded AS (
-      SELECT n, list_filter(string_split(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w
-      FROM lines),
-    grams AS (
-      SELECT n, row_number() OVER () AS u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
-      FROM worded),
-    best AS (
-      SELECT n, u, max(struct_pack(dice := len(list_intersect(grams.g, templates.g)) * 2 / (len(grams.g) + len(templates.g)), name := name)) AS b
-      FROM grams JOIN templates ON len(grams.g) BETWEEN len(templates.g) * ({LEAST} / (2 - {LEAST})) - 1e-9 AND len(templates.g) / ({LEAST} / (2 - {LEAST})) + 1e-9
-      GROUP BY n, u),
-    hits AS (
-      SELECT n, count(*) AS k, string_agg(DISTINCT b.name, ',' ORDER BY b.name) AS licenses, max(b.dice) AS dice
-      FROM best WHERE b.dice >= {LEAST} GROUP BY n)
-    SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines,
-      CAST(coalesce(k, 0) AS BIGINT) AS n_license_lines, coalesce(licenses, '') AS licenses, dice AS best_dice
-    FROM (SELECT *, row_number() OVER () AS n FROM documents) LEFT JOIN hits USING (n)
-    """
+#: The notices stand here once more, so that a slip in the operator's own table shows. In the tables that the query is
+#: compared on, every match is one line; passages are compared with brute force in the tests.
+LICENSE_SCAN_SQL = """
+WITH notices(name, t) AS (VALUES
+  ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+  ('Apache-2.0', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+  ('BSD-3-Clause', 'Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.'),
+  ('CC-BY-4.0', 'This work is licensed under a Creative Commons Attribution 4.0 International License.'),
+  ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+  ('CC-BY-SA-4.0', 'This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.'),
+  ('CC0-1.0', 'To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.'),
+  ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+  ('GPL-3.0-or-later', 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
+  ('MIT', 'Released under the MIT License.'),
+  ('MIT', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.'),
+  ('MPL-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.'),
+  ('reserved', 'All rights reserved.')),
+templates AS (
+  SELECT name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM (SELECT name, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM notices)),
+lines AS (
+  SELECT n, unnest(string_split(text, chr(10))) AS line
+  FROM (SELECT row_number() OVER () AS n, coalesce(text, '') AS text FROM documents)),
+worded AS (SELECT n, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM lines),
+grams AS (
+  SELECT n, row_number() OVER () AS u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM worded),
+best AS (
+  SELECT n, u, max(struct_pack(dice := len(list_intersect(grams.g, templates.g)) * 2 / (len(grams.g) + len(templates.g)), name := name)) AS b
+  FROM grams JOIN templates ON len(grams.g) * 3 >= len(templates.g) * 2 - 1e-6 AND len(grams.g) * 2 <= len(templates.g) * 3 + 1e-6
+  GROUP BY n, u),
+hits AS (
+  SELECT n, count(*) AS k, string_agg(DISTINCT b.name, ',' ORDER BY b.name) AS licenses, max(b.dice) AS dice
+  FROM best WHERE b.dice >= 0.8 GROUP BY n)
+SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines,
+  CAST(coalesce(k, 0) AS BIGINT) AS n_license_lines, coalesce(licenses, '') AS licenses, dice AS best_dice
+FROM (SELECT *, row_number() OVER () AS n FROM documents) LEFT JOIN hits USING (n)
+"""

@@ -1,6 +1,7 @@
 """URL filters, licence scans and the quality classifier on small tables."""
 
 import itertools
+import random
 import re
 import textwrap
 import zlib
@@ -35,37 +36,85 @@ def test_url_filter(spark, slice_rows):
     assert [tuple(r) for r in empty] == [(None, "allow")]
 
 
-def test_license_scan(spark):
-    texts = [None, "", "\n\n", "RELEASED under the (MIT) License!", "x\nAll  rights\treserved\nReleased under the MIT License.\nAll rights reserved. Yes", "Licensed under the Apache License Version 3.0", "mit " * 20_000, "all rights " * 3, "é" * 9, "word"]
-    docs = spark.createDataFrame([(k, t, 5) for k, t in enumerate([*texts, texts[4]])], "doc_id long, text string, n_lines int")
-    got = {r.doc_id: r for r in license_scan.scan(docs, spans=True).collect()}
+def license_matches(text, templates, texts, least):
+    """(line, (dice, name)) by the definition, without any pruning."""
+    lines = [(i, w) for i, x in enumerate(text.split("\n")) if (w := re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), x)))]
+
+    def dice(a, b):
+        a, b = set(a), set(b)
+        return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0
+
+    def pairs(words):
+        return [f"{a} {b}" for a, b in itertools.pairwise(words)]
+
+    found = []
+    for name, t in templates:
+        found += [(i, (dice(pairs(w), license_scan.bigrams(t)), name)) for i, w in lines]
+    for name, t in [*templates, *texts]:
+        grams, runs = set(license_scan.bigrams(t)), [[]]
+        for k, (i, w) in enumerate(lines):
+            p = pairs(w + lines[k + 1][1][:1] if k + 1 < len(lines) else w)
+            if p and 2 * sum(g in grams for g in p) >= len(p):
+                runs[-1].append((i, w))
+            else:
+                runs.append([])
+        for run in runs:
+            score = dice(pairs([x for _, w in run for x in w]), grams)
+            found += [(i, (score, name)) for i, _ in run]
+    best = {}
+    for i, m in found:
+        if m[0] >= least:
+            best[i] = max(m, best.get(i, m))
+    return sorted(best.items())
 
-    def grams(t):
-        return set(license_scan.bigrams(t))
 
+def test_license_scan(spark):
+    rng = random.Random(2)
+    texts = [None, "", "\n\n", "RELEASED under the (MIT) License!", "x\nAll  rights\treserved\nReleased under the MIT License.\nAll rights reserved. Yes", "Licensed under the Apache License Version 3.0", "mit " * 20_000, "all rights " * 3, "é" * 9, "word", "by cc by nc 4 0\ncc by nc 4 0 by", "\u0130nc 4\n\u212anc\nRELEASED UNDER THE M\u0130T LICENSE"]
+    every = [t for _, t in license_scan.TEMPLATES + license_scan.TEXTS]
+    for k in range(250):  # wrapped, indented and altered licences between other lines
+        words = rng.choice(every).split()
+        if k % 3:
+            words = [w if rng.random() > 0.06 * (k % 3) else rng.choice(["any", "some", "the"]) for w in words]
+        mark = rng.choice(["", "# ", " * ", "// "])
+        wrapped = [mark + x for x in textwrap.wrap(" ".join(words), rng.choice([25, 60, 80, 10_000]))]
+        more = [rng.choice(["", "of the software and", "This notice may go", "free of charge"]) for _ in range(rng.randint(0, 3))]
+        texts.append("\n".join([*more, *wrapped, *more, *wrapped[: rng.randint(0, 3)]]))
+    texts.append("\n".join(textwrap.wrap(every[-1], 60) * 200))
+    docs = spark.createDataFrame([(k, t, 5, "x", "y") for k, t in enumerate([*texts, texts[4]])], "doc_id long, text string, n_lines int, lines string, matches string")
+    got = {r.doc_id: r for r in license_scan.scan(docs, spans=True).collect()}
+    some = 0
     for k, t in enumerate([*texts, texts[4]]):
-        lines, want = (t or "").split("\n"), []
-        for i, line in enumerate(lines):
-            scores = [(2 * len(grams(line) & grams(x)) / (len(grams(line)) + len(grams(x))), n) for n, x in license_scan.TEMPLATES]
-            if max(scores)[0] >= license_scan.LEAST:
-                want.append((i, max(scores)))
+        want = license_matches(t or "", license_scan.TEMPLATES, license_scan.TEXTS, license_scan.LEAST)
+        some += len(want) > 3
         assert [(m.line, (m.best.dice, m.best.name)) for m in got[k].matches] == want
-        assert (got[k].n_lines, got[k].n_license_lines, got[k].licenses) == (len(lines), len(want), ",".join(sorted({n for _, (_, n) in want})))
+        assert (got[k].n_lines, got[k].n_license_lines, got[k].licenses) == ((t or "").count("\n") + 1, len(want), ",".join(sorted({n for _, (_, n) in want})))
+        assert got[k].best_dice == max((d for _, (d, _) in want), default=None)
+    assert some > 50
     assert license_scan.scan(docs.limit(0)).count() == 0
-    assert license_scan.scan(docs, []).agg({"n_license_lines": "max"}).first()[0] == 0
+    assert license_scan.scan(docs, [], texts=[]).agg({"n_license_lines": "max"}).first()[0] == 0
 
 
 def test_wrapped_licenses(spark):
-    wrapped = [(name, "\n".join(textwrap.wrap(t, 80))) for name, t in license_scan.TEXTS]
-    gpl = "\n".join(textwrap.wrap(dict((n, t) for n, t in license_scan.TEMPLATES)["GPL-3.0-or-later"], 70))
-    bsd = "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file."
-    texts = [*wrapped, *license_scan.TEXTS, ("GPL-3.0-or-later", gpl), ("BSD-3-Clause", bsd)]
-    docs = [(k, f"Some words of a text before.\n\n{t}\n\nAnd a few more after it.") for k, (_, t) in enumerate(texts)]
-    docs += [(90, "Nothing of the kind\nin these lines"), (91, "The terms of the licence are\nfree of charge to any person")]
+    """Whole licences and headers, wrapped, commented or in one line, are found whole."""
+    forms = [("\n".join(textwrap.wrap(t, 80)), name) for name, t in license_scan.TEXTS]
+    forms += [("\n".join(f" * {x}" for x in textwrap.wrap(t, 60)), name) for name, t in license_scan.TEXTS]
+    forms += [(t, name) for name, t in license_scan.TEXTS]
+    forms += [("\n".join(textwrap.wrap(t, 30)), name) for name, t in license_scan.TEMPLATES if len(t) > 40]
+    docs = [(k, f"Some words of a text before.\n\n{t}\n\nAnd a few more after it.") for k, (t, _) in enumerate(forms)]
+    docs += [(900, "Nothing of the kind\nin these lines"), (901, "The terms of the licence are\nfree of charge to any person")]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    for k, (name, t) in enumerate(texts):
-        assert got[k].licenses == name and got[k].best_dice == 1 and got[k].n_license_lines == t.count("\n") + 1
-    assert got[90].n_license_lines == got[91].n_license_lines == 0
+    for k, (t, name) in enumerate(forms):
+        assert name in got[k].licenses.split(",") and got[k].best_dice >= 0.9 and got[k].n_license_lines >= 0.9 * (t.count("\n") + 1), (name, got[k])
+    assert got[900].n_license_lines == got[901].n_license_lines == 0
+
+
+def test_anchors_are_needed():
+    made = [license_scan.bigrams(t) for _, t in license_scan.TEMPLATES + license_scan.TEXTS]
+    chosen = set(license_scan.anchors(made))
+    for grams in made:
+        bare = [g for g in grams if not set(g.split()) & chosen]
+        assert 2 * len(bare) / (len(bare) + len(grams)) < license_scan.LEAST
 
 
 def test_marginals_equal_enumeration():
