@@ -6,8 +6,8 @@ between |B| least / (2 - least) and |B| (2 - least) / least, and least / (2 - le
 Templates outside the size bounds are not compared.
 
 There are two kinds of units. A line is compared with the short notices. A passage of a template is a longest run of
-lines (lines without words are skipped) of which each has half of its bigrams in the template, the one that ends in the
-next line included; it is compared with its template, short or long. So notices that are wrapped, indented or commented, and
+lines (lines without words are skipped) of which each has half of its bigrams in the template, those that it shares
+with the lines around it included; it is compared with its template, short or long. So notices that are wrapped, indented or commented, and
 whole licences, are found in time that follows the text's length. A line's match is the best of those that cover it.
 
 What a unit must hold prunes documents twice: from each template so many bigrams are named by *anchor* words that a
@@ -118,8 +118,10 @@ def _passages(lines: Column, t: Column) -> Column:
     """Runs (a, b) of places in ``lines`` (line, words) that each have half of their bigrams in template ``t``."""
 
     def belongs(u: Column, i: Column) -> Column:
-        after = F.coalesce(F.slice(F.get(lines, i + 1)["words"], 1, 1), F.array().cast("array<string>"))
-        return _let(_pairs(F.concat(u["words"], after)), lambda p: (F.size(p) > 0) & (F.size(F.filter(p, lambda g: F.array_contains(t["grams"], g))) * 2 >= F.size(p)))
+        none = F.array().cast("array<string>")
+        before = F.coalesce(F.slice(F.get(lines, i - 1)["words"], -1, 1), none)
+        after = F.coalesce(F.slice(F.get(lines, i + 1)["words"], 1, 1), none)
+        return _let(_pairs(F.concat(before, u["words"], after)), lambda p: (F.size(p) > 0) & (F.size(F.filter(p, lambda g: F.array_contains(t["grams"], g))) * 2 >= F.size(p)))
 
     def step(state: Column, x: Column) -> Column:
         """``open``: where the run began, or -1."""

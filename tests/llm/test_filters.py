@@ -53,7 +53,7 @@ def license_matches(text, templates, texts, least):
     for name, t in [*templates, *texts]:
         grams, runs = set(license_scan.bigrams(t)), [[]]
         for k, (i, w) in enumerate(lines):
-            p = pairs(w + lines[k + 1][1][:1] if k + 1 < len(lines) else w)
+            p = pairs((lines[k - 1][1][-1:] if k else []) + w + (lines[k + 1][1][:1] if k + 1 < len(lines) else []))
             if p and 2 * sum(g in grams for g in p) >= len(p):
                 runs[-1].append((i, w))
             else:
