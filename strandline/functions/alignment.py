@@ -137,7 +137,8 @@ def _similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
     for queries, targets in batches:
         out = pd.Series(0.0, index=queries.index)
         for query, rows in targets.fillna("").groupby(queries.fillna("")):
-            out[rows.index] = similarities(query, rows.tolist())
+            known = rows.drop_duplicates()  # equal sequences are aligned once a batch
+            out[rows.index] = rows.map(dict(zip(known, similarities(query, known.tolist()), strict=True)))
         yield out
 
 

@@ -26,11 +26,6 @@ def region_length() -> Column:
     return F.col("end") - F.col("start")
 
 
-def overlaps(a: str, b: str) -> Column:
-    """Whether regions named ``a`` and ``b`` share a base; touching ones do not."""
-    return (F.col(f"{a}.chr") == F.col(f"{b}.chr")) & (F.col(f"{a}.start") < F.col(f"{b}.end")) & (F.col(f"{a}.end") > F.col(f"{b}.start"))
-
-
 def context(sequence: Column, position: Column, length: Column, around: int = CONTEXT) -> Column:
     """Bases from ``around`` before a match to ``around`` after it."""
     low = F.greatest(position - around, F.lit(0))

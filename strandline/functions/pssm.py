@@ -57,3 +57,11 @@ def percent(pssm_: Pssm, score: float) -> float:
     """A raw score in percent of the range, from 0 to 100."""
     span = pssm_.max_score - pssm_.min_score
     return 0.0 if span == 0 else max(0.0, min(100.0, (score - pssm_.min_score) / span * 100))
+
+
+def percent_of(pssm_: Pssm, score):
+    """``percent`` of a column."""
+    from pyspark.sql import functions as F
+
+    span = pssm_.max_score - pssm_.min_score
+    return F.lit(0.0) if span == 0 else F.greatest(F.lit(0.0), F.least(F.lit(100.0), (score - pssm_.min_score) / span * 100))

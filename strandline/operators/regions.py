@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +11,19 @@ from .sequences import PIECE, pieces
 
 #: Bases of a bin. Regions meet by bins, so that one long chromosome is many tasks.
 BIN = 1 << 14
+#: Letters of a type whose spellings are listed.
+SPELLED = 4
 COMPARE = {">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, "=": lambda a, b: a == b}
 
 
 def of_type(regions: DataFrame, name: str) -> DataFrame:
-    """Regions of a feature type, case aside."""
+    """Regions of a feature type, case aside. The spellings of a short name are a list that reaches the scan; any other
+    name's usual ones cannot be told from rarer spellings, so it is compared in lower case."""
+    spellings = [""]
+    for c in name if sum(x.isalpha() for x in name) <= SPELLED else "":
+        spellings = [s + x for s in spellings for x in dict.fromkeys((c.lower(), c.upper()))]
+    if name.isascii() and len(spellings) > 1 and "k" not in name.lower():  # the Kelvin sign is a k in lower case
+        return regions.where(F.col("type").isin(spellings))
     return regions.where(F.lower("type") == name.lower())
 
 
@@ -135,6 +141,3 @@ def type_counts(regions: DataFrame) -> DataFrame:
 def top(regions: DataFrame, n: int, *order: str) -> DataFrame:
     return regions.orderBy(*order).limit(n)
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

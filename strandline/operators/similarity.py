@@ -13,17 +13,19 @@ OPS = {">": lambda s, v: s > v, "<": lambda s, v: s < v, ">=": lambda s, v: s >=
 def with_similarity(regions: DataFrame, reference: DataFrame | None = None, order: str = "ord") -> DataFrame:
     """Regions with ``similarity`` to the first row of ``reference`` (or of themselves) and ``is_first``.
 
-    Equal sequences are aligned once; those without bases have no similarity. Repeats of the first row by all
-    columns count as first too.
+    Rows that tie by ``order`` are told apart by their other columns; exact repeats of the first row count as first too.
+    Rows without bases have no similarity.
     """
-    first = (regions if reference is None else reference).orderBy(order).limit(1).select(F.col(order).alias("_first"), F.upper("sequence").alias("_query"))
+    given = regions if reference is None else reference
+    whole = F.struct(order, *sorted(c for c in given.columns if c != order))
+    first = given.select(F.min(whole).alias("_first")).where(F.col("_first").isNotNull())
     both = regions.join(F.broadcast(first))  # one row
-    texts = both.where(F.col("sequence") != "").select("_query", F.upper("sequence").alias("_text")).distinct()
     # an alignment is long work for a small row: as many tasks as the session's shuffles have, however few the bytes
-    texts = texts.repartition(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_text")
-    scored = texts.withColumn("similarity", similarity_of(F.col("_query"), F.col("_text"))).select("_text", "similarity")
-    out = both.join(scored, F.upper("sequence") == F.col("_text"), "left")
-    return out.select(*regions.columns, "similarity", (F.col(order) == F.col("_first")).alias("is_first"))
+    both = both.repartition(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    some = F.coalesce("sequence", F.lit("")) != ""
+    aligned = similarity_of(F.coalesce(F.upper("_first.sequence"), F.lit("")), F.upper(F.coalesce("sequence", F.lit(""))))
+    is_first = F.struct(*(F.col(f"`{c}`") for c in [order, *sorted(c for c in given.columns if c != order)])).eqNullSafe(F.col("_first")) if set(given.columns) <= set(regions.columns) else F.lit(False)
+    return both.select(*regions.columns, F.when(some, aligned).alias("similarity"), is_first.alias("is_first"))
 
 
 def filter_similarity(regions: DataFrame, op: str, value: float, order: str = "ord") -> DataFrame:

@@ -23,7 +23,7 @@ def main(args: list[str]) -> int:
         script = Path(paths[0]).read_text(encoding="utf-8")
         results = session.run(script)
         if debug:
-            print(session.describe(script))
+            print(session.describe(script, results))
         for r in results if debug else results[-1:]:
             print(r.text())
     except (ScriptError, OSError) as e:

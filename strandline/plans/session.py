@@ -14,6 +14,7 @@ from ..sources.gff3 import read_gff3
 from ..sources.jaspar import read_jaspar
 from .analysis import ANNOTATION, MATRIX, RESULT, SEQUENCES, analyze
 from .compiler import Compiler
+from .errors import SemanticError
 from .syntax import Find, Load, Scan, parse
 
 SHOWN, BASES_SHOWN = 20, 60
@@ -108,12 +109,21 @@ class Session:
         else:
             self.register_matrix(s.alias, read_jaspar(self.spark, s.path))
 
-    def describe(self, script: str) -> str:
-        """Tokens, statements and names of a script, and the number of features of each type."""
+    def describe(self, script: str, results: list[Result] | None = None) -> str:
+        """Tokens, statements, checks and names of a script, the plan of each of ``results``, and the number of features of each type."""
         from .syntax import tokenize
 
         lines = ["tokens: " + " ".join(t.text for t in tokenize(script)[:-1])]
-        lines += [f"statement: {s}" for s in parse(script)]
+        statements = parse(script)
+        lines += [f"statement: {s}" for s in statements]
+        try:
+            analyze(statements, self.kinds, self.semantics, self._exists)
+            lines.append("checks: passed")
+        except SemanticError as e:
+            lines.append(f"checks: {e}")
+        for k, r in enumerate(results or [], 1):
+            lines.append(f"plan of result {k}:")
+            lines += ["  " + x for x in r.frame._jdf.queryExecution().simpleString().splitlines() if x.strip()]
         lines += [f"name: {k} ({v})" for k, v in sorted(self.kinds.items())]
         if self.compiler.annotation is not None:
             counts = self.compiler.annotation.groupBy("type").agg(F.count("*").alias("n")).orderBy("type").collect()

@@ -22,5 +22,3 @@ REGION = T.StructType([
     T.StructField("sequence", T.StringType()),
 ])
 REGION_COLUMNS = REGION.fieldNames()
-
-MATCH_COLUMNS = ["seq_id", "position", "match_length", "strand", "context"]

@@ -14,7 +14,8 @@ def find_in_stream(sequences: DataFrame, pattern: str, strand: str = "+") -> Dat
     return find_literal(sequences, pattern, strand)
 
 
-def scan_stream(sequences: DataFrame, pssm, strand: str = "+", threshold: float = 75.0) -> DataFrame:
+def scan_stream(sequences: DataFrame, pssm, strand: str | None = None, threshold: float = 75.0) -> DataFrame:
+    """Matches of a matrix in a streaming (seq_id, sequence) table, with their scores."""
     return scan(sequences, pssm, strand, threshold, scores=True)
 
 

@@ -235,12 +235,34 @@ def test_banded_alignment(monkeypatch):
     assert alignment.similarity("A" * 120, "C" * 120) == 0
 
 
+def test_banded_alignment_equals_its_recurrence(monkeypatch):
+    """Cells by (row, place in the band): a band moves with the row, so the cell above has the same place."""
+    monkeypatch.setattr(alignment, "FULL", 0)
+    rng = random.Random(4)
+    for m, n in ((1, 1), (5, 400), (400, 5), (130, 130), (200, 90), (700, 640)):
+        q, t = ("".join(rng.choice("ACGT") for _ in range(k)) for k in (m, n))
+        if m == n:
+            t = q[:40] + t[:9] + q[52:] + "acg"
+        w = max(50, min(m, len(t)) // 10)
+        above, best = {}, 0
+        for i in range(m):
+            row = {}
+            for k in range(2 * w + 1):
+                if 0 <= (j := i - w + k) < len(t):
+                    row[k] = max(0, above.get(k, 0) + (2 if q[i] == t[j].upper() else -1), above.get(k, 0) - 2, row.get(k - 1, 0) - 2)
+                    best = max(best, row[k])
+            above = row
+        assert alignment.similarity(q, t) == min(100.0, best / (2 * min(m, len(t))) * 100)
+
+
 def test_similarity_filter(spark):
     rows = [(k, n, s) for k, (n, s) in enumerate([("ref", "ACGATCGTAC"), ("same", "ACGATCGTAC"), ("eighty", "CGTTAACGCT"), ("none", ""), ("far", "TTTTTTTTTT")])]
     df = spark.createDataFrame(rows, "ord long, name string, sequence string")
     assert {r.name for r in similarity.filter_similarity(df, ">=", 90).collect()} == {"ref", "same", "far"}
     assert {r.name for r in similarity.filter_similarity(df, "=", 80.4).collect()} == {"ref", "eighty"}
     assert {r.name for r in similarity.filter_similarity(df, "<", 81).collect()} == {"ref", "eighty"}
+    tied = df.withColumn("ord", F.lit(0))  # the first by the other columns alone is the first
+    assert {r.name for r in similarity.filter_similarity(tied, ">", 101).collect()} == {"eighty"}
 
 
 def test_pieces_give_the_bases_of_regions(spark):
@@ -255,7 +277,9 @@ def test_pieces_give_the_bases_of_regions(spark):
     assert regex == long_ and regex
 
 
-def test_bed(spark, features):
-    from strandline.sources.bed import to_bed
+def test_bed(spark, features, tmp_path):
+    from strandline.sources.bed import to_bed, write_bed
 
     assert [r.value for r in to_bed(features[0].orderBy("ord").limit(1)).collect()] == ["test_sequence\t10\t20\tgeneA\t0\t+"]
+    write_bed(features[0], str(tmp_path / "bed"))
+    assert spark.read.text(str(tmp_path / "bed")).count() == features[0].count()

@@ -44,6 +44,7 @@ def test_entry(spark):
 def test_plans_push_down(spark):
     plan = queries.QUERIES["extract_type"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "l_extendedprice" not in plan and "Exchange" not in plan
+    assert "PushedFilters: [In(l_returnflag, [R,r])]" in plan or "In(l_returnflag" in plan.split("PushedFilters")[1].split("ReadSchema")[0]
     seqs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("seq_id"), F.col("text").alias("sequence"))
     plan = motif.find(seqs, "CACA")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
