@@ -6,7 +6,9 @@ slots by joining on their rank within their length. Ranks are dense without any
 each task numbers its own pieces of a length, and the counts of (length, task) are summed up before it.
 
 Null texts are packed as empty ones (one end id); repeated rows are packed each on their own; an empty
-table gives an empty one. Only documents longer than a sequence are cut; the first piece takes the rest.
+table gives an empty one. Only documents longer than a sequence are cut, however long; the first piece takes the rest.
+Which of several pieces of the same length takes which slot is open (ties). Only id and text are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
@@ -25,16 +27,15 @@ from .bpe import slices
 from .byte_bpe import tokenizer
 from .shared import stored
 
-#: Most slot ranges that a plan may have. It depends on the lengths alone, not on the corpus: each range
-#: ends a length or an open group of equal sequences.
-MOST_SLOTS = 2_000_000
-
-
 def plan(counts: dict[int, int], size: int) -> tuple[np.ndarray, int]:
     """Best-fit decreasing over counts.
 
     Returns slot ranges (length, first rank, last rank + 1, sequence of the first rank, offset), ordered,
     and the number of sequences. Ranks r of a range go to sequence (first sequence + r - first rank).
+
+    Ranges are bounded by ``size`` alone, whatever the counts: a range ends its length or uses up an open group of equal
+    sequences, whose room shrinks by it. A length opens three groups at most, and a group takes size / length ranges of a
+    length, so there are fewer than 3 size^2 (1 + log size).
     """
     slots: list[tuple[int, int, int, int, int]] = []
     open_: dict[int, list[tuple[int, int]]] = {}  # room left: [(first sequence, how many)]
@@ -68,8 +69,6 @@ def plan(counts: dict[int, int], size: int) -> tuple[np.ndarray, int]:
             slots.append((length, rank, rank + used, first, size - room))
             put(room - length, first, used)
             rank, left = rank + used, left - used
-            if len(slots) > MOST_SLOTS:
-                raise ValueError("the plan has more slot ranges than its bound allows")
     return np.array(sorted(slots), np.int64).reshape(-1, 5), sequences
 
 
@@ -122,7 +121,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, text: st
     ranked = cut.join(before.select("length", "task", F.coalesce("before", F.lit(0)).alias("before")), ["length", "task"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
     keep = [c for c in cut.columns if c not in ("task", "rank")]
-    shared = docs.sparkSession.sparkContext.broadcast(slots)  # bounded by MOST_SLOTS
+    shared = docs.sparkSession.sparkContext.broadcast(slots)  # bounded by the size of a sequence
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value

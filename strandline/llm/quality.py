@@ -4,12 +4,16 @@ Method: a linear-chain conditional random field labels every line good or bad fr
 and of its two neighbours; forward-backward marginals, weighted by line length, give a document's share
 of good text, and a logistic curve fitted on the training rows turns that into its score.
 
-Only the text goes into a score. Training takes at most ``most_docs`` labelled rows (those with the
-smallest hashes of their ids) and of each at most ``MOST_LINES`` lines, in chains of ``CHAIN`` lines;
-a line's label is its document's. Scoring is narrow: every document, every line, no shuffle.
-
-A null or empty text is one empty line. Repeated rows get the same score each; an empty table gives an
-empty one; without labelled rows of both kinds every score is the share of label 1, or 0.5.
+Features are a line's length, words, character classes, repeats, and its words by hash. Only the text goes into a score.
+Training takes a sample of labelled rows outside the held-out fold, by the smallest hashes of their ids: at most
+``most_docs`` rows with at most ``most_lines`` lines and ``most_chars`` characters in sum, each row with its whole text as
+one chain; a line's label is its document's. Scoring is narrow: every document, every line, no shuffle.
+
+A null or empty text is one empty line. Long texts are worked on whole, by themselves if need be (a text larger than
+the sample's bounds is scored like any other, but never in the sample). Repeated rows get the same score each; ties in the
+order of the sample are rows that are equal. An empty table gives an empty one; without labelled rows of both
+kinds every score is the share of label 1, or 0.5. Columns of the documents are kept, whatever their names;
+one called score (or good, with ``lines``) is replaced.
 """
 
 from __future__ import annotations
@@ -19,21 +23,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
+from .shared import free_name
 
-MOST_LINES, CHAIN, STEPS = 128, 16, 60
-#: Bytes of text whose features are made at once; each takes about 80 bytes of arrays meanwhile.
-SLICE = 1_000_000
+STEPS = 60
+#: Bytes of text whose features are made at once; each takes about 100 bytes of arrays meanwhile.
+SLICE = 500_000
 KINDS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t\r\x0b\x0c", "point": b".,;:?'\"-()", "call": b"!", "bar": b"|", "sign": b"#$%&*@^~=+<>{}[]\\_/`"}
 CLASS = np.full(256, len(KINDS), np.uint8)  # what is left: control and non-ASCII bytes
 for _k, _chars in enumerate(KINDS.values()):
     CLASS[list(_chars)] = _k
 CLASSES = len(KINDS) + 1
 LAGS = (1, 2, 3)
-WIDTH = 3 + CLASSES + len(LAGS) + 2
+#: Words are counted by so many values of their hash.
+HASHED = 32
+WIDTH = 3 + CLASSES + len(LAGS) + 2 + HASHED
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,7 +73,8 @@ def line_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first:
     whole = np.zeros(n, np.uint64)
     np.add.at(whole, line, code * (np.arange(len(code)).astype(np.uint64) - np.r_[0, np.cumsum(words)[:-1]].astype(np.uint64)[line] + np.uint64(7)))
     repeats = np.r_[False, (whole[1:] == whole[:-1]) & (size[1:] > 0)] & ~first
-    cols = [np.log1p(size), np.log1p(words), (size - counts[:, 3]) / np.maximum(words, 1) / 10, *(counts / some[:, None]).T, *again, repeats, size == 0]
+    by_word = np.bincount(line * HASHED + (code >> np.uint64(40)).astype(np.int64) % HASHED, minlength=n * HASHED).reshape(n, HASHED)
+    cols = [np.log1p(size), np.log1p(words), (size - counts[:, 3]) / np.maximum(words, 1) / 10, *(counts / some[:, None]).T, *again, *(by_word / np.maximum(words, 1)[:, None]).T, repeats, size == 0]
     return np.stack([c.astype(np.float32) for c in cols], axis=1)
 
 
@@ -163,9 +171,7 @@ def _train(x: np.ndarray, size: np.ndarray, row: np.ndarray, label: np.ndarray)
     n, rate = len(label), label.mean() if len(label) else 0.5
     if not len(label) or not 0 < rate < 1:
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(3 * WIDTH + 3), np.zeros((2, 2)), 0.0, float(_logit(np.array(rate))) if len(label) else 0.0)
-    start = np.r_[True, row[1:] != row[:-1]]
-    place = np.arange(len(row)) - np.flatnonzero(start)[np.cumsum(start) - 1]
-    first = place % CHAIN == 0
+    first = np.r_[True, row[1:] != row[:-1]]
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     z, gold = beside((x - mean) / scale, first), label[row].astype(float)
     # lines count by their documents: each document weighs as much as any other of its label, and both labels the same
@@ -185,7 +191,7 @@ def _train(x: np.ndarray, size: np.ndarray, row: np.ndarray, label: np.ndarray)
             v[:] = 0.99 * v + 0.01 * g * g
             p += 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model = Model(mean, scale, w, move, 1.0, 0.0)
-    good = model.score_lines(x, start)
+    good = model.score_lines(x, first)
     share = np.bincount(row, good * (size + 1e-3), minlength=n) / np.bincount(row, size + 1e-3, minlength=n)
     a, b, s = 1.0, 0.0, _logit(share)
     for _ in range(30):  # Newton steps of a lightly penalised logistic curve
@@ -205,27 +211,32 @@ def held_out(id_col: Column | str = "doc_id") -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, text: str = "text", id_col: str = "doc_id", label: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, text: str = "text", id_col: str = "doc_id", label: str = "quality", most_lines: int = 200_000, most_chars: int = 20_000_000) -> Model:
     """Fits the model on a bounded sample of labelled rows; contradicting labels of an id count as 0."""
-    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(id_col).agg(F.min(label).cast("int").alias("_label"))
-    sample = known.orderBy(F.xxhash64(id_col), id_col).limit(most_docs)  # at most most_docs rows of an id and a number
-    rows = docs.select(F.col(id_col), F.col(text).cast("string").alias("_text")).join(F.broadcast(sample), id_col).select("_text", "_label")
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").alias("label")).where("label IS NOT NULL AND id IS NOT NULL").where(~held_out("id"))
+    known = known.groupBy("id").agg(F.min("label").cast("int").alias("label"))
+    sample = known.orderBy(F.xxhash64("id"), "id").limit(most_docs)  # at most most_docs rows of an id and a number
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(sample), "id").withColumn("chars", F.octet_length("text"))
+    lines = F.col("chars") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    # an id may have many rows: again the first most_docs, and of those as many as the bounds allow
+    rows = rows.withColumn("lines", lines).where((F.col("lines") <= most_lines) & (F.col("chars") <= most_chars))
+    order = [F.xxhash64("id"), "id", F.xxhash64("text")]
+    rows = rows.orderBy(*order).limit(most_docs)
+    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over at most most_docs rows
+    rows = rows.withColumns({"all_lines": F.sum("lines").over(upto), "all_chars": F.sum("chars").over(upto)})
+    rows = rows.where((F.col("all_lines") <= most_lines) & (F.col("all_chars") <= most_chars)).select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 0, SLICE):
                 data, starts, ends, row = lines_of(batch, 0)
-                start = np.r_[True, row[1:] != row[:-1]]
-                x = line_features(data, starts, ends, start)
-                place = np.arange(len(row)) - np.flatnonzero(start)[np.cumsum(start) - 1]
-                kept = place < MOST_LINES
-                x, size, row = x[kept], (ends - starts)[kept], row[kept]
+                x = line_features(data, starts, ends, np.r_[True, row[1:] != row[:-1]])
                 cut = np.flatnonzero(np.diff(row)) + 1
-                cols = [pa.array([p.tobytes() for p in np.split(x, cut)]), pa.array([p.tobytes() for p in np.split(size, cut)]), batch.column(1)]
+                cols = [pa.array([p.tobytes() for p in np.split(x, cut)]), pa.array([p.tobytes() for p in np.split(ends - starts, cut)]), batch.column(1)]
                 yield pa.RecordBatch.from_arrays(cols, ["x", "size", "label"])
 
-    got = rows.mapInArrow(run, "x binary, size binary, label int").collect()  # bounded by most_docs and MOST_LINES
+    got = rows.mapInArrow(run, "x binary, size binary, label int").collect()  # bounded by most_docs, most_lines and most_chars
     got.sort(key=lambda r: (r["x"], r["label"]))
     x = [np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH) for r in got]
     row = np.repeat(np.arange(len(x)), [len(v) for v in x])
@@ -239,11 +250,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     keep = [c for c in docs.columns if c not in ("score", "good")] if keep is None else keep
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     extra = ["good"] * lines
+    again = [] if text in keep and kinds[text] == "string" else [F.col(f"`{text}`").cast("string").alias(free_name(docs, "text_"))]
+    at = len(keep) if again else keep.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, len(keep), SLICE):
-                data, starts, ends, row = lines_of(batch, len(keep))
+            for batch in slices(whole, at, SLICE):
+                data, starts, ends, row = lines_of(batch, at)
                 first = np.r_[True, row[1:] != row[:-1]]
                 good = model.score_lines(line_features(data, starts, ends, first), first)
                 cols = [pa.array(model.score_docs(good, ends - starts, row, batch.num_rows))]
@@ -252,4 +265,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], [*keep, "score", *extra])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double", *["good array<double>"] * lines])
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), *again).mapInArrow(run, schema)

@@ -8,8 +8,9 @@ prune the pairs one segment at a time, and those that are left are checked in fu
 Documents with equal fingerprints are one row from the start. Buckets are cut into tiles of bounded
 size, a tile gives only a forest of its links, and components come from distributed star steps.
 
-Null and wordless texts have the fingerprint zero and are linked like any other. Repeated rows share
-their class; an empty table gives an empty one; documents' further columns never enter.
+Null and wordless texts have the fingerprint zero and are linked like any other. Long texts are read whole.
+Repeated rows share their class, which is named by the smallest id (ties); an empty table gives an empty one. Only id and
+text are read, so other columns cannot clash.
 
 With ``least`` fingerprints are of the sets of shingles and only nominate: what their links connect is a group, and
 within a group texts are linked if the exact Jaccard similarity of their sets is ``least`` or more. Two texts
@@ -285,7 +286,7 @@ def similar_documents(docs: DataFrame, least: float, words: int = 5, lanes: int
     several = grouped.groupBy("group").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("group")
     members = grouped.join(several, "group", "left_semi").select("fp", "group")
     nominated = stored(classes.join(members, "fp").select("group", F.col("id").cast("bigint").alias("id"), "sh"), "nominated")
-    own = docs.join(nominated.select(F.col("id").alias("_id")).distinct(), F.col(f"`{id_col}`") == F.col("_id"), "left_semi")
+    own = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).join(nominated.select(F.col("id").alias("_id")).distinct(), F.col(f"`{id_col}`") == F.col("_id"), "left_semi")
     sets = _shingle_sets(own, words, text, id_col).groupBy("id", "sh").agg(F.first("shingles").alias("shingles"))
     sets = stored(nominated.join(sets, ["id", "sh"]), "shingle-sets")
     linked = components(verified(sets, least), "similar")

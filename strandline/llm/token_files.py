@@ -7,8 +7,9 @@ of a mapped file is row k mod rows of batch k div rows, without a copy. Document
 ascending id order; each file's last sequence is filled up with masked zeros.
 ``docs-NNNNNN.arrow`` has the ids, starts (within the file) and lengths of the file's documents.
 
-Nulls: a null text is an empty one (the end id alone), a null id sorts first. Repeated rows are written
-each on their own; ties in id are ordered by text. An empty table gives no files and no rows.
+Nulls: a null text is an empty one (the end id alone), a null id sorts first. Long texts are written whole, over as many
+sequences as they need. Repeated rows are written each on their own; ties in id are ordered by text. An empty table
+gives no files and no rows. Only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -2,22 +2,27 @@
 
 Method: M-trees searched best first. Vectors x get one more component sqrt(R^2 - |x|^2), R being the
 largest norm of the tree, and queries a zero: then |q - x|^2 = |q|^2 + R^2 - 2 <q, x>, so the nearest
-are those with the largest inner product, in a metric. Each tree (``TREE`` vectors) is a file of pages in the shared folder: inner
-nodes with routing vectors, covering radii and distances to their parents, and leaves with vectors and
-their distances to the routing vector. A search takes the node with the smallest lower bound next and
-stops when no bound is below the k-th distance. A node or vector is skipped without computing its
-distance where | d(q, parent) - d(x, parent) | - radius is above that bound already. The queries of a
-block walk together, each with its own bounds; the scores are exact integers.
+are those with the largest inner product, in a metric. Each tree (up to ``TREE`` vectors or so) is a file in the shared
+folder: leaf pages with vectors and their distances to the routing vector, then the directory of the inner nodes with
+routing vectors, covering radii and distances to their parents. A page is read when a search first comes to it.
+
+Each query of a block takes its own open node with the smallest lower bound next, and is done when no bound is below its k-th
+distance; queries that take the same node at a time share the work on it. A node or vector is skipped without computing its
+distance where | d(q, parent) - d(x, parent) | - radius is above that bound already. The first tree gives each query a
+bound to begin with in all others. Scores are exact integers.
 
 Each block of queries meets every tree; a query's candidates are its k best of each tree, and the last step
 ranks them. Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without
-an id. Queries see vectors of their own length. Repeated rows are candidates each, but a row with the query's own id is not. Empty tables give an empty result.
+an id. Queries see vectors of their own length, long ones too. Repeated rows are candidates each, but a row with the
+query's own id is not. Components whose products exceed 64 bits are multiplied as integers of any size; a score
+beyond 64 bits is given as the nearest 64-bit number, and such scores tie. Empty tables give an empty result. Only id
+and vector are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
-import heapq
 import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,157 +33,170 @@ from pyspark.sql import functions as F
 
 from .shared import file_system, new_path, publish, stored
 
-TREE, LEAF, FAN, QUERIES = 16_384, 128, 16, 2048
-#: Integers whose inner products int64 holds for vectors of up to 2^20 components.
-BOUND = 2**21
+TREE, LEAF, FAN, QUERIES = 16_384, 128, 16, 512
 SLACK = 1e-9
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
-class Tree:
-    """An M-tree over integer vectors, built from the top: vectors go to the nearest of up to FAN spread-out routing vectors."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF, fan: int = FAN):
-        v = vectors.astype(float)
-        norm = np.einsum("ij,ij->i", v, v)
-        self.reach = float(norm.max()) if len(v) else 0.0
-        self.points = np.c_[v, np.sqrt(np.maximum(self.reach - norm, 0))]
-        self.order: list[np.ndarray] = []
-        self.nodes: list[dict] = []
-        self.leaf, self.fan = leaf, fan
-        self._build(np.arange(len(v)), self.points.mean(axis=0) if len(v) else None)
-        rows = np.concatenate(self.order) if self.order else np.empty(0, np.int64)
-        self.ids, self.vectors, self.points = ids[rows], vectors[rows], self.points[rows]
-        del self.order
-
-    def _distance(self, rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(((self.points[rows] - centre) ** 2).sum(axis=1), 0))
-
-    def _build(self, rows: np.ndarray, centre: np.ndarray) -> int:
-        """A node over ``rows`` with routing vector ``centre``; returns its number."""
-        number, far = len(self.nodes), self._distance(rows, centre) if len(rows) else np.empty(0)
-        node = {"centre": centre, "radius": float(far.max()) if len(far) else 0.0, "children": [], "to_parent": []}
-        self.nodes.append(node)
-        if len(rows) <= self.leaf or node["radius"] == 0:
-            by = np.argsort(far, kind="stable")
-            node["first"] = sum(map(len, self.order))
-            self.order.append(rows[by])
-            node["far"] = far[by]
-            return number
-        # spread-out routing vectors: each is the one farthest from those before
-        picks, near = [int(far.argmax())], None
-        which = np.zeros(len(rows), np.int64)
-        for k in range(self.fan):
-            d = self._distance(rows, self.points[rows[picks[k]]])
-            closer = np.ones(len(rows), bool) if near is None else d < near
-            which[closer], near = k, d if near is None else np.minimum(d, near)
-            nxt = int(near.argmax())
-            if k + 1 == self.fan or near[nxt] == 0:
-                break
-            picks.append(nxt)
-        for k in range(len(picks)):
-            part = rows[which == k]
-            middle = self.points[part].mean(axis=0)
-            node["children"].append(self._build(part, middle))
-            node["to_parent"].append(float(np.sqrt(((middle - centre) ** 2).sum())))
-        return number
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query position, vector position, score) of each query's k best; ties to the smaller id."""
-        n, total = len(queries), len(self.ids)
-        best_score = np.full((n, k), np.iinfo(np.int64).min)
-        best_row = np.full((n, k), -1)
-        if not total or not n:
-            return (np.empty(0, np.int64),) * 3
-        q = np.c_[queries.astype(float), np.zeros(n)]
-        own = np.einsum("ij,ij->i", q, q)
-        base = own + self.reach  # squared distance = base - 2 score
-        scale = 1 + np.sqrt(base)
-
-        def worst(at: np.ndarray) -> np.ndarray:
-            s = best_score[at, k - 1].astype(float)
-            open_ = best_row[at, k - 1] < 0
-            return np.where(open_, np.inf, np.sqrt(np.maximum(base[at] - 2 * s, 0))) + SLACK * scale[at]
-
-        def to(at: np.ndarray, centre: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(((q[at] - centre) ** 2).sum(axis=1), 0))
-
-        everyone = np.arange(n)
-        top = to(everyone, self.nodes[0]["centre"])
-        heap = [(0.0, 0, everyone, top)]
-        while heap:
-            _, number, at, d = heapq.heappop(heap)
-            node = self.nodes[number]
-            bound = worst(at)
-            open_ = d - node["radius"] <= bound
-            at, d, bound = at[open_], d[open_], bound[open_]
-            if not len(at):
-                continue
-            if "far" in node:
-                self._leaf(node, at, d, bound, query_ids, queries, best_score, best_row, k)
-                continue
-            for child, apart in zip(node["children"], node["to_parent"], strict=True):
-                below = self.nodes[child]
-                maybe = np.abs(d - apart) - below["radius"] <= bound  # from stored distances alone
-                if maybe.any():
-                    some = at[maybe]
-                    real = to(some, below["centre"])
-                    least = real - below["radius"]
-                    kept = least <= bound[maybe]
-                    if kept.any():
-                        heapq.heappush(heap, (float(np.median(least[kept])), child, some[kept], real[kept]))
-        queries_at, places = np.nonzero(best_row >= 0)
-        return queries_at, best_row[queries_at, places], best_score[queries_at, places]
-
-    def _leaf(self, node, at, d, bound, query_ids, queries, best_score, best_row, k) -> None:
-        far, first = node["far"], node["first"]
-        # vectors lie by distance to the routing vector: the triangle inequality leaves a ring
-        low = int(np.searchsorted(far, (d - bound).min(), side="left"))
-        high = int(np.searchsorted(far, (d + bound).max(), side="right"))
-        if low >= high:
-            return
-        rows = np.arange(first + low, first + high)
-        scores = exact(queries[at], self.vectors[rows])
-        scores[query_ids[at][:, None] == self.ids[rows][None, :]] = np.iinfo(np.int64).min
-        s = np.concatenate([best_score[at], scores], axis=1)
-        r = np.concatenate([best_row[at], np.where(scores == np.iinfo(np.int64).min, -1, rows[None, :])], axis=1)
-        i = np.where(r < 0, np.iinfo(np.int64).max, self.ids[r])
-        by = np.lexsort((i, ~s), axis=1)[:, :k]  # ~s falls as s rises, and has no overflow
-        best_score[at] = np.take_along_axis(s, by, axis=1)
-        best_row[at] = np.take_along_axis(r, by, axis=1)
-
-    def dump(self) -> bytes:
-        out = io.BytesIO()
-        leaves = [k for k, node in enumerate(self.nodes) if "far" in node]
-        parent = np.full(len(self.nodes), -1)
-        apart = np.zeros(len(self.nodes))
-        for k, node in enumerate(self.nodes):
-            parent[node["children"]] = k
-            apart[node["children"]] = node["to_parent"]
-        np.savez(out, ids=self.ids, vectors=self.vectors, reach=self.reach, centre=np.array([n["centre"] for n in self.nodes]), radius=[n["radius"] for n in self.nodes], parent=parent, apart=apart, leaves=leaves, first=[self.nodes[k]["first"] for k in leaves], far=np.concatenate([self.nodes[k]["far"] for k in leaves]))
-        return out.getvalue()
-
-    @classmethod
-    def load(cls, data: bytes) -> Tree:
-        tree, got = cls.__new__(cls), np.load(io.BytesIO(data))
-        tree.ids, tree.vectors, tree.reach = got["ids"], got["vectors"], float(got["reach"])
-        tree.nodes = [{"centre": c, "radius": float(r), "children": [], "to_parent": []} for c, r in zip(got["centre"], got["radius"], strict=True)]
-        for k, (p, a) in enumerate(zip(got["parent"].tolist(), got["apart"].tolist(), strict=True)):
-            if p >= 0:
-                tree.nodes[p]["children"].append(k)
-                tree.nodes[p]["to_parent"].append(a)
-        far, first = got["far"], got["first"].tolist()
-        ends = [*first[1:], len(far)]
-        for k, a, z in zip(got["leaves"].tolist(), first, ends, strict=True):
-            tree.nodes[k] |= {"first": a, "far": far[a:z]}
-        return tree
+def whole(v: np.ndarray, times: int = 1) -> np.ndarray:
+    """floor(times x): int64 where products of two such vectors fit 64 bits, else Python integers."""
+    top = float(np.abs(v).max(initial=0))
+    if top < 2**31 and (times * top + 1) ** 2 * v.shape[1] < 2**62:
+        return np.floor(times * v).astype(np.int64)
+    return np.array([[math.floor(times * x) if abs(x) < 2.0**53 else times * int(x) for x in row] for row in v.tolist()], dtype=object).reshape(v.shape)
+
+
+def exponents(v: np.ndarray) -> np.ndarray:
+    """The power of two that each row stays below."""
+    return np.array([int(x).bit_length() for x in np.abs(v).max(axis=1, initial=0)], np.int64)
+
+
+def scaled(v: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Rows divided by powers of two, as doubles."""
+    if v.dtype != object:
+        return np.ldexp(v.astype(float), -power[:, None])
+    return np.array([[x / 2 ** int(p) for x in row] for row, p in zip(v, power, strict=True)], float).reshape(v.shape)
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products. Doubles hold them exactly up to 2^53; beyond that int64 does."""
+    """Integer inner products. Doubles hold them exactly up to 2^53; beyond that int64 or Python integers do."""
+    if a.dtype == object or b.dtype == object:
+        return a.astype(object) @ b.astype(object).T
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if most < 2**53:
         return np.rint(a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
+    return a @ b.T if most < 2**62 else a.astype(object) @ b.astype(object).T
+
+
+def dump(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF, fan: int = FAN) -> bytes:
+    """The file of an M-tree over integer vectors, built from the top: vectors go to the nearest of up to ``fan`` spread-out routing vectors."""
+    power = exponents(vectors).max(initial=0)
+    v = scaled(vectors, np.full(len(vectors), power))
+    norm = np.einsum("ij,ij->i", v, v)
+    reach = float(norm.max(initial=0))
+    points = np.c_[v, np.sqrt(np.maximum(reach - norm, 0))]
+    out, names = io.BytesIO(), ("centre", "radius", "parent", "apart", "begin", "end")
+    nodes: dict[str, list] = {c: [] for c in names}
+    todo = [(np.arange(len(v)), points.mean(axis=0), -1, 0.0)]
+    while todo:
+        rows, centre, parent, apart = todo.pop()
+        far = np.sqrt(((points[rows] - centre) ** 2).sum(axis=1))
+        begin = end = 0
+        if len(rows) <= leaf or far.max() == 0:
+            by = rows[np.argsort(far, kind="stable")]
+            begin = out.tell()
+            page = {"ids": ids[by], "far": np.sort(far)} | ({"vectors": vectors[by]} if vectors.dtype != object else {"digits": np.array([[str(x) for x in r] for r in vectors[by]])})
+            np.savez(part := io.BytesIO(), **page)
+            out.write(part.getvalue())
+            end = out.tell()
+        else:
+            picks, near, which = [int(far.argmax())], None, np.zeros(len(rows), np.int64)
+            for k in range(fan):  # each routing vector is the one farthest from those before
+                d = np.sqrt(((points[rows] - points[rows[picks[k]]]) ** 2).sum(axis=1))
+                closer = np.ones(len(rows), bool) if near is None else d < near
+                which[closer], near = k, d if near is None else np.minimum(d, near)
+                if k + 1 == fan or near.max() == 0:
+                    break
+                picks.append(int(near.argmax()))
+            for k in range(len(picks)):
+                part_rows = rows[which == k]
+                middle = points[part_rows].mean(axis=0)
+                todo.append((part_rows, middle, len(nodes["parent"]), float(np.sqrt(((middle - centre) ** 2).sum()))))
+        for c, value in zip(names, (centre, float(far.max()), parent, apart, begin, end), strict=True):
+            nodes[c].append(value)
+    np.savez(head := io.BytesIO(), power=power, reach=reach, **{c: np.array(x) for c, x in nodes.items()})
+    at = out.tell()
+    out.write(head.getvalue() + at.to_bytes(8, "little"))
+    return out.getvalue()
+
+
+class Tree:
+    """An M-tree in a file that can seek; its pages are read as searches come to them."""
+
+    def __init__(self, file):
+        self.file = file
+        size = file.seek(0, 2) or file.tell()
+        at = int.from_bytes(self._bytes(size - 8, size), "little")
+        got = np.load(io.BytesIO(self._bytes(at, size - 8)))
+        self.power, self.reach = int(got["power"]), float(got["reach"])
+        self.centre, self.radius, self.apart, self.begin, self.end = (got[c] for c in ("centre", "radius", "apart", "begin", "end"))
+        self.children = [np.flatnonzero(got["parent"] == k) for k in range(len(self.radius))]
+        self.pages: dict[int, tuple] = {}
+
+    def _bytes(self, a: int, z: int) -> bytes:
+        self.file.seek(a)
+        return self.file.read(z - a)
+
+    def page(self, node: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, distances to the routing vector, vectors) of a leaf."""
+        if node not in self.pages:
+            got = np.load(io.BytesIO(self._bytes(int(self.begin[node]), int(self.end[node]))))
+            vectors = got["vectors"] if "vectors" in got else np.array([[int(x) for x in r] for r in got["digits"]], dtype=object)
+            self.pages[node] = got["ids"], got["far"], vectors
+        return self.pages[node]
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, least: list | None = None) -> list[list[tuple]]:
+        """Each query's k best as (-score, id), best first; ties to the smaller id. ``least``: a score of each query (or None)
+        that k others are known to reach."""
+        n = len(queries)
+        power = exponents(queries)
+        q = np.c_[scaled(queries, power), np.zeros(n)]
+        base = np.einsum("ij,ij->i", q, q) + self.reach  # squared distance = base - 2 score, all scaled
+        room = SLACK * (1 + np.sqrt(base))
+        best: list[list[tuple]] = [[] for _ in range(n)]
+        limit = np.full(n, np.inf)
+
+        def bounded(i: int, score: int) -> None:
+            reached = score / 2 ** (int(power[i]) + self.power)
+            limit[i] = min(limit[i], math.sqrt(max(base[i] - 2 * reached, 0.0)) + room[i])
+
+        for i, score in enumerate(least or []):
+            if score is not None:
+                bounded(i, score)
+        open_ = [np.arange(n), np.zeros(n, np.int64), np.sqrt(((q - self.centre[0]) ** 2).sum(axis=1))]
+        open_.append(open_[2] - self.radius[0])
+        while len(open_[0]):
+            kept = open_[3] <= limit[open_[0]]
+            query, node, far, bound = (x[kept] for x in open_)
+            order = np.lexsort((node, bound, query))
+            query, node, far, bound = (x[order] for x in (query, node, far, bound))
+            first = np.r_[True, query[1:] != query[:-1]] if len(query) else np.empty(0, bool)
+            more = [[x[~first]] for x in (query, node, far, bound)]
+            for number in np.unique(node[first]):
+                mine = first & (node == number)
+                at, d = query[mine], far[mine]
+                if not len(self.children[number]):
+                    self._leaf(int(number), at, d, limit, query_ids, queries, best, k, bounded)
+                    continue
+                for child in self.children[number]:
+                    maybe = np.abs(d - self.apart[child]) - self.radius[child] <= limit[at]  # from stored distances alone
+                    some = at[maybe]
+                    real = np.sqrt(((q[some] - self.centre[child]) ** 2).sum(axis=1))
+                    near = real - self.radius[child] <= limit[some]
+                    for x, value in zip(more, (some[near], np.full(near.sum(), child), real[near], real[near] - self.radius[child]), strict=True):
+                        x.append(value)
+            open_ = [np.concatenate(x) for x in more]
+        return best
+
+    def _leaf(self, number, at, d, limit, query_ids, queries, best, k, bounded) -> None:
+        ids, far, vectors = self.page(number)
+        # vectors lie by distance to the routing vector: the triangle inequality leaves a ring
+        low = int(np.searchsorted(far, (d - limit[at]).min(), side="left"))
+        high = int(np.searchsorted(far, (d + limit[at]).max(), side="right"))
+        if low >= high:
+            return
+        ids = ids[low:high]
+        scores = exact(queries[at], vectors[low:high])
+        for i, row in zip(at.tolist(), scores, strict=True):
+            if scores.dtype != object and len(ids) > k:  # all that tie with the k-th best stay
+                some = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1])  # one more, for the query's own row
+            else:
+                some = range(len(ids))
+            new = [(-max(min(int(row[j]), MOST), LEAST), int(ids[j])) for j in some if ids[j] != query_ids[i]]
+            if new:
+                best[i] = sorted(best[i] + new)[:k]
+                if len(best[i]) == k and -best[i][-1][0] > LEAST:
+                    bounded(i, -best[i][-1][0])
 
 
 def _write(fs, path: str, data: bytes) -> None:
@@ -191,21 +209,15 @@ def _write(fs, path: str, data: bytes) -> None:
 def search(table: DataFrame, k: int = 5, every: int = 50, times: int = 256, vector: str = "embedding", id_col: str = "vec_id", tree_rows: int = TREE, query_rows: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all rows but the query's own, for ids divisible by ``every``."""
     spark = table.sparkSession
-    ints = F.transform("v", lambda c: F.floor(F.lit(float(times)) * c.cast("double")))
-    fit = F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= BOUND / times)) & (F.size("v") > 0), F.lit(False))
     finite = F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & (F.size("v") > 0), F.lit(False))
-    rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & finite)
-    checked = F.when(fit, ints).otherwise(F.raise_error(F.lit(f"a component times {times} is beyond {BOUND}")).cast("array<bigint>"))
-    rows = stored(rows.select("id", checked.alias("v"), F.size("v").alias("width")), "search-rows")
-    sizes = rows.groupBy("width").agg(F.count("*").alias("n"), F.sum((F.col("id") % every == 0).cast("long")).alias("q")).collect()  # a row for each length of vectors
+    given = table.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & finite)
+    # a table, so that the numbers of rows and the trees see the same ones
+    rows = stored(given.select("id", "v", F.size("v").alias("width"), F.monotonically_increasing_id().alias("row")), "search-rows")
+    sizes = rows.groupBy("width").agg(F.count("*").alias("n"), F.sum((F.col("id") % every == 0).cast("long")).alias("q"))
+    sizes = stored(sizes.where("q > 0").select("width", F.ceil(F.col("n") / tree_rows).alias("trees"), F.ceil(F.col("q") / query_rows).alias("blocks")), "search-widths")
     folder = new_path(spark, "m-trees")
-    parts = [(r["width"], -(-r["n"] // tree_rows), -(-r["q"] // query_rows)) for r in sizes if r["q"]]
-    if not parts:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    trees = F.coalesce(*(F.when(F.col("width") == w, t) for w, t, _ in parts), F.lit(0))
-    blocks = F.coalesce(*(F.when(F.col("width") == w, b) for w, _, b in parts), F.lit(0))
 
-    def built(of: DataFrame, number, kind: str) -> DataFrame:
+    def built(of: DataFrame, number: str, kind: str) -> DataFrame:
         """Writes the groups of ``of`` as files and returns their names: a row for each."""
 
         def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -217,35 +229,47 @@ def search(table: DataFrame, k: int = 5, every: int = 50, times: int = 256, vect
             fs, root = file_system(folder)
             fs.create_dir(root, recursive=True)
             name = f"{kind}-{width}-{one}"
-            out = io.BytesIO()
             if kind == "queries":
-                np.savez(out, ids=ids, vectors=v)
-            _write(fs, f"{root}/{name}", out.getvalue() if kind == "queries" else Tree(ids, v).dump())
-            return pa.table({"width": pa.array([width], pa.int32()), "name": [name]})
-
-        grouped = of.withColumn("number", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), number).cast("int")).groupBy("width", "number")
-        return stored(grouped.applyInArrow(run, "width int, name string"), kind)
-
-    known = rows.where(F.col("width").isin([w for w, _, _ in parts]))
-    tree_names = built(known, trees, "tree")
-    query_names = built(known.where(F.col("id") % every == 0), blocks, "queries")
-    tasks = tree_names.withColumnRenamed("name", "tree").join(query_names.withColumnRenamed("name", "queries"), "width")  # names of files: each block meets each tree
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = file_system(folder)
-
-        def read(name: str) -> bytes:
-            with fs.open_input_stream(f"{root}/{name}") as f:
-                return f.read()
-
-        for batch in batches:
-            for name, block in zip(batch.column("tree").to_pylist(), batch.column("queries").to_pylist(), strict=True):
-                tree, q = Tree.load(read(name)), np.load(io.BytesIO(read(block)))
-                at, row, score = tree.search(q["ids"], q["vectors"], k)
-                yield pa.RecordBatch.from_arrays([pa.array(q["ids"][at]), pa.array(at.astype(np.int64)), pa.array([block] * len(at)), pa.array(tree.ids[row]), pa.array(score)], ["query_id", "place", "block", "vec_id", "score"])
+                np.savez(out := io.BytesIO(), ids=ids, vectors=v)
+            _write(fs, f"{root}/{name}", out.getvalue() if kind == "queries" else dump(ids, whole(v, times)))
+            return pa.table({"width": pa.array([width], pa.int32()), "number": pa.array([one], pa.int32()), "name": [name]})
+
+        grouped = of.withColumn("number", F.pmod(F.xxhash64("id", "row"), number).cast("int")).groupBy("width", "number")
+        return stored(grouped.applyInArrow(run, "width int, number int, name string"), kind)
+
+    known = rows.join(sizes, "width")
+    trees = built(known, "trees", "tree").select("width", F.col("number").alias("tree_number"), F.col("name").alias("tree"))
+    blocks = built(known.where(F.col("id") % every == 0), "blocks", "queries").select("width", F.col("name").alias("queries"))
+    # names of files: the tree of the smallest number is every block's first, then each block meets each other tree
+    smallest = trees.groupBy("width").agg(F.min("tree_number").alias("smallest"))
+    tasks = trees.join(smallest, "width").join(blocks, "width")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def met(of: DataFrame, seeded: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, root = file_system(folder)
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = tasks.repartition(n, "tree", "queries").mapInArrow(run, "query_id bigint, place bigint, block string, vec_id bigint, score bigint")
+            def read(name: str):
+                with fs.open_input_stream(f"{root}/{name}") as f:
+                    return np.load(io.BytesIO(f.read()))
+
+            for batch in batches:
+                for name, block in zip(batch.column("tree").to_pylist(), batch.column("queries").to_pylist(), strict=True):
+                    got = read(block)
+                    ids, v = got["ids"], whole(got["vectors"], times)
+                    least = [int(x) if x else None for x in read(f"{block}-least")["least"].tolist()] if seeded else None
+                    with fs.open_input_file(f"{root}/{name}") as file:
+                        best = Tree(file).search(ids, v, k, least)
+                    if not seeded:
+                        np.savez(out := io.BytesIO(), least=np.array([str(-b[-1][0]) if len(b) == k and -b[-1][0] > LEAST else "" for b in best]))
+                        _write(fs, f"{root}/{block}-least", out.getvalue())
+                    flat = [(int(ids[i]), i, block, j, -s) for i, b in enumerate(best) for s, j in b]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat, strict=True) if flat else [[]] * 5, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["query_id", "place", "block", "vec_id", "score"])
+
+        return of.repartition(parts, "tree", "queries").mapInArrow(run, "query_id bigint, place bigint, block string, vec_id bigint, score bigint")
+
+    first = stored(met(tasks.where("tree_number = smallest"), False), "search-first")
+    found = first.unionByName(met(tasks.where("tree_number > smallest"), True))
     # a query row is told by its block and place, since ids may repeat
     rank = F.row_number().over(Window.partitionBy("query_id", "block", "place").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -12,7 +12,8 @@ A pair that meets in several buckets counts in the first of them.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those without a label or
 id, link with nothing: n_links 0, their own component. Repeated rows are vectors of their own that link
-with one another; vectors of different length do not. An empty table gives an empty one.
+with one another; vectors of different length, long ones too, do not. Ties at the threshold link. An empty table gives an
+empty one. Only id, label and vector are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

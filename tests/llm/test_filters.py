@@ -167,3 +167,55 @@ def test_quality_odd_rows(spark):
         assert [len(by[k].good) for k in (0, 1, 2, 6)] == [1, 1, 3, 30_001]
         assert by[3].score == by[7].score
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_document_scores_equal_plain_forward_backward(spark):
+    """Scores by a line after line in logarithms, from the model's weights; a text's tail counts as much as its head."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    sample = [r.text for r in docs.where("doc_id < 40").collect()] + ["a line of words\n" * 300 + "!!! $$$ ### " * 500, "x\n\n| 9 | 9 |"]
+    got = {r.k: r for r in quality.score(spark.createDataFrame(list(enumerate(sample)), "k int, text string"), model, lines=True).collect()}
+    for k, t in enumerate(sample):
+        lines = (t or "").encode().split(b"\n")
+        ends = np.cumsum([len(x) + 1 for x in lines]) - 1
+        x = quality.line_features(np.frombuffer((t or "").encode(), np.uint8), ends - [len(x) for x in lines], ends, np.arange(len(lines)) == 0)
+        z = (x - model.mean) / model.scale
+        pad = np.zeros((1, z.shape[1]))
+        edge = np.arange(len(z))
+        full = np.hstack([z, np.vstack([pad, z[:-1]]), np.vstack([z[1:], pad]), (edge == 0)[:, None], (edge == len(z) - 1)[:, None], np.ones((len(z), 1))])
+        up = np.clip(full @ model.weight, -30, 30)
+        own = np.stack([-up / 2, up / 2], axis=1)
+        alpha, beta = [own[0]], [np.zeros(2)]
+        for i in range(1, len(z)):
+            alpha.append(own[i] + np.logaddexp.reduce(alpha[-1][:, None] + model.move, axis=0))
+        for i in range(len(z) - 1, 0, -1):
+            beta.append(np.logaddexp.reduce(model.move + (own[i] + beta[-1])[None, :], axis=1))
+        both = np.array(alpha) + np.array(beta[::-1])
+        good = np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))
+        assert np.allclose(good, got[k].good, atol=1e-6)
+        size = np.array([len(x) for x in lines]) + 1e-3
+        share = np.clip((good * size).sum() / size.sum(), 1e-4, 1 - 1e-4)
+        assert abs(got[k].score - 1 / (1 + np.exp(-np.clip(model.slope * np.log(share / (1 - share)) + model.shift, -30, 30)))) < 1e-5
+
+
+def test_training_reads_whole_texts(spark):
+    """Documents of 200 lines that differ in their last lines alone."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    docs = []
+    for k in range(120):
+        head = [" ".join(word() for _ in range(6)) for _ in range(150)]
+        tail = [("!!! $$ 99 " * 12 if k % 2 else " ".join(word() for _ in range(20))) for _ in range(60)]
+        docs.append((k, "\n".join(head + tail)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    model = quality.fit(df, spark.createDataFrame([(k, 1 - k % 2) for k, _ in docs], "doc_id long, quality int"))
+    rows = quality.score(df, model).where(quality.held_out()).collect()
+    assert len(rows) > 10 and all((r.score >= 0.3) == (r.doc_id % 2 == 0) for r in rows)
+
+
+def test_sample_bounds(spark):
+    docs = spark.createDataFrame([(k, f"{'good' if k % 2 else '!!'} line\n" * 10) for k in range(60)] + [(3, "again")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    for bounds in ({"most_docs": 5}, {"most_lines": 35}, {"most_chars": 200}, {"most_lines": 1}):
+        assert np.isfinite(quality.fit(docs, labels, **bounds).weight).all()

@@ -1,6 +1,8 @@
 """Vector near-dedup and exact top-k search against brute force."""
 
+import io
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -90,19 +92,36 @@ def test_topk(spark, tree_rows, query_rows):
     assert topk.search(df.limit(0)).count() == 0
 
 
-def test_trees_skip_distances():
+def test_trees_skip_distances_and_pages():
     rng = np.random.default_rng(1)
     v = (rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] * 400 + rng.normal(size=(4000, 16)) * 9).astype(int)
-    tree = topk.Tree.load(topk.Tree(np.arange(4000), v, leaf=64, fan=8).dump())
-    computed = []
-    real = topk.exact
-    try:
-        topk.exact = lambda a, b: computed.append(len(a) * len(b)) or real(a, b)
-        at, row, score = tree.search(np.arange(50), v[:50], 5)
-    finally:
-        topk.exact = real
-    assert sum(computed) < 0.5 * 50 * 4000
     want = v[:50] @ v.T
-    for q in range(50):
-        mine = sorted(((-s, tree.ids[r]) for a, r, s in zip(at, row, score, strict=True) if a == q))
-        assert mine == sorted((-int(s), j) for j, s in enumerate(want[q].tolist()) if j != q)[:5]
+    best = [sorted((-int(s), j) for j, s in enumerate(w.tolist()) if j != q)[:5] for q, w in enumerate(want)]
+    known = [-b[-1][0] for b in best]
+    counts = []
+    for least in (None, known):
+        tree = topk.Tree(io.BytesIO(topk.dump(np.arange(4000), v, leaf=64, fan=8)))
+        computed = []
+        real = topk.exact
+        try:
+            topk.exact = lambda a, b: computed.append(len(a) * len(b)) or real(a, b)
+            assert tree.search(np.arange(50), v[:50], 5, least) == best
+        finally:
+            topk.exact = real
+        counts.append(sum(computed))
+    assert counts[1] <= counts[0] < 0.5 * 50 * 4000
+    one = topk.Tree(io.BytesIO(topk.dump(np.arange(4000), v, leaf=64, fan=8)))
+    assert one.search(np.array([7]), v[7:8], 5)[0] == best[7]
+    assert len(one.pages) < 0.3 * sum(len(c) == 0 for c in one.children)
+
+
+def test_topk_of_wide_components(spark):
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate([(1e6, 2.5, -3.0), (1e6, 2.25, -3.0), (9e15, 1.0, 0.5), (-9e15, 1.0, 0.5), (1e300, 1.7e308, 0.0), (1e300, 1.6e308, -1.0), (0.0, 0.0, 0.0), (4e9, 4e9, 4e9), (4e9, 4e9, 4e9 + 1)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = sorted(tuple(r) for r in topk.search(df, k=3, every=1, tree_rows=4, query_rows=2).collect())
+    ints = [[int(Fraction(x) * 256 // 1) for x in v] for _, v in rows]
+    want = []
+    for q, a in enumerate(ints):
+        scores = [(-max(min(sum(x * y for x, y in zip(a, b, strict=True)), 2**63 - 1), -(2**63)), j) for j, b in enumerate(ints) if j != q]
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scores)[:3])]
+    assert got == sorted(want)
