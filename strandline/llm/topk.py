@@ -6,8 +6,8 @@ are those with the largest inner product, in a metric. Each tree (up to ``TREE``
 folder: leaf pages with vectors and their distances to the routing vector, then the directory of the inner nodes with
 routing vectors, covering radii and distances to their parents. A page is read when a search first comes to it.
 
-Each query of a block takes its own open node with the smallest lower bound next, and is done when no bound is below its k-th
-distance; queries that take the same node at a time share the work on it. A node or vector is skipped without computing its
+Each query of a block takes its own open nodes with the smallest lower bounds next, one at first and twice as many each time,
+and is done when no bound is below its k-th distance; queries that take the same node at a time share the work on it. A node or vector is skipped without computing its
 distance where | d(q, parent) - d(x, parent) | - radius is above that bound already. The first tree gives each query a
 bound to begin with in all others. Scores are exact integers.
 
@@ -153,20 +153,28 @@ class Tree:
         for i, score in enumerate(least or []):
             if score is not None:
                 bounded(i, score)
-        open_ = [np.arange(n), np.zeros(n, np.int64), np.sqrt(((q - self.centre[0]) ** 2).sum(axis=1))]
-        open_.append(open_[2] - self.radius[0])
+        far = np.sqrt(((q - self.centre[0]) ** 2).sum(axis=1))
+        open_, step = [np.arange(n), np.zeros(n, np.int64), far, far - self.radius[0]], 1
         while len(open_[0]):
             kept = open_[3] <= limit[open_[0]]
-            query, node, far, bound = (x[kept] for x in open_)
-            order = np.lexsort((node, bound, query))
-            query, node, far, bound = (x[order] for x in (query, node, far, bound))
-            first = np.r_[True, query[1:] != query[:-1]] if len(query) else np.empty(0, bool)
-            more = [[x[~first]] for x in (query, node, far, bound)]
-            for number in np.unique(node[first]):
-                mine = first & (node == number)
-                at, d = query[mine], far[mine]
+            open_ = [x[kept] for x in open_]
+            order = np.lexsort((open_[1], open_[3], open_[0]))
+            open_ = [x[order] for x in open_]
+            begins = np.flatnonzero(np.r_[True, open_[0][1:] != open_[0][:-1]]) if len(order) else np.empty(0, np.int64)
+            place = np.arange(len(order)) - np.repeat(begins, np.diff(np.r_[begins, len(order)]))
+            more = [[x[place >= step]] for x in open_]
+            query, node, far, _ = (x[place < step] for x in open_)
+            by = np.argsort(node, kind="stable")
+            query, node, far = query[by], node[by], far[by]
+            cuts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]).tolist() if len(node) else []
+            for a, z in zip(cuts, [*cuts[1:], len(node)], strict=False):
+                number, at, d = int(node[a]), query[a:z], far[a:z]
+                some = d - self.radius[number] <= limit[at]  # limits may have fallen in this round
+                at, d = at[some], d[some]
+                if not len(at):
+                    continue
                 if not len(self.children[number]):
-                    self._leaf(int(number), at, d, limit, query_ids, queries, best, k, bounded)
+                    self._leaf(number, at, d, limit, query_ids, queries, best, k, bounded)
                     continue
                 for child in self.children[number]:
                     maybe = np.abs(d - self.apart[child]) - self.radius[child] <= limit[at]  # from stored distances alone
@@ -176,6 +184,7 @@ class Tree:
                     for x, value in zip(more, (some[near], np.full(near.sum(), child), real[near], real[near] - self.radius[child]), strict=True):
                         x.append(value)
             open_ = [np.concatenate(x) for x in more]
+            step *= 2
         return best
 
     def _leaf(self, number, at, d, limit, query_ids, queries, best, k, bounded) -> None:
@@ -187,9 +196,13 @@ class Tree:
             return
         ids = ids[low:high]
         scores = exact(queries[at], vectors[low:high])
-        for i, row in zip(at.tolist(), scores, strict=True):
-            if scores.dtype != object and len(ids) > k:  # all that tie with the k-th best stay
-                some = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1])  # one more, for the query's own row
+        small = scores.dtype != object
+        kth = [-best[i][-1][0] if len(best[i]) == k else LEAST for i in at.tolist()]
+        better = np.flatnonzero(scores.max(axis=1) >= np.array(kth)).tolist() if small else range(len(at))
+        for n in better:
+            i, row = int(at[n]), scores[n]
+            if small and len(ids) > k:  # all that tie with the k-th best stay, and one more for the query's own row
+                some = np.flatnonzero(row >= max(kth[n], np.partition(row, len(row) - k - 1)[len(row) - k - 1])).tolist()
             else:
                 some = range(len(ids))
             new = [(-max(min(int(row[j]), MOST), LEAST), int(ids[j])) for j in some if ids[j] != query_ids[i]]
