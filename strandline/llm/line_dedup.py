@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import dropped, stored
 
 MOST, SHORTEST = 2, 16
 #: Letters whose numbers in two lines of a tile are compared before their edit distance. Any letters do: an edit
@@ -289,6 +289,7 @@ def kept_lines(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST, text
         found = components(links, "lines")
     grouped = classes.join(texts.select("h", "h2", "node"), ["h", "h2"]).join(found, F.col("node") == found["id"])
     grouped = stored(grouped.select("component", "h", "h2", classes["id"], "th", "pos"), "line-groups")
+    dropped(hot, pairs, wanted, texts, near, *([members] if some_hot else []))
     ahead = grouped.groupBy("component").agg(first).select("first.*")
     alone = classes.join(grouped.select("h", "h2"), ["h", "h2"], "left_anti").select("id", "th", "pos")
     return alone.unionByName(ahead)

@@ -53,7 +53,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of ``stored`` tables that nothing reads any more."""
+    for t in tables:
+        removed(t.sparkSession, t.stored_path)
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -67,12 +75,3 @@ def file_system(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
-
-
-def publish(fs, own: str, path: str) -> None:
-    """Gives a finished file its name; one of the same name is an earlier attempt's, with the same content."""
-    from pyarrow.fs import FileType
-
-    if fs.get_file_info(path).type == FileType.File:
-        fs.delete_file(path)
-    fs.move(own, path)

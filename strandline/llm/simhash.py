@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .components import components, runs, stars, tiles, whole_runs
-from .shared import stored
+from .shared import dropped, stored
 
 SEED = 42
 BLOCK = 4096
@@ -290,6 +290,7 @@ def similar_documents(docs: DataFrame, least: float, words: int = 5, lanes: int
     sets = _shingle_sets(own, words, text, id_col).groupBy("id", "sh").agg(F.first("shingles").alias("shingles"))
     sets = stored(nominated.join(sets, ["id", "sh"]), "shingle-sets")
     linked = components(verified(sets, least), "similar")
+    dropped(by_print, nominated, sets)
     named = classes.join(linked.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("sh", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, "sh", "left").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 

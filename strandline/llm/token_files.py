@@ -1,14 +1,14 @@
 """Token ids in files that training reads with random access.
 
-Format: Arrow IPC streams in files. ``ids-NNNNNN.arrow`` has batches of two fixed-size-list columns,
+Format: Arrow IPC streams in files. ``ids-SHARD-ATTEMPT.arrow`` has batches of two fixed-size-list columns,
 ``input_ids`` (uint16 where the vocabulary fits, else uint32) and ``mask`` (bool, one bit a position):
 all sequences have the same length and all batches but the last the same number of rows, so sequence k
 of a mapped file is row k mod rows of batch k div rows, without a copy. Documents follow one another in
 ascending id order; each file's last sequence is filled up with masked zeros.
-``docs-NNNNNN.arrow`` has the ids, starts (within the file) and lengths of the file's documents.
+``docs-SHARD-ATTEMPT.arrow`` has the ids, starts (within the file) and lengths of the file's documents.
 
 Nulls: a null text is an empty one (the end id alone), a null id sorts first. Long texts are written whole, over as many
-sequences as they need. Repeated rows are written each on their own; ties in id are ordered by text. An empty table
+sequences as they need. Repeated rows are written each on their own; ties in id are ordered by a hash of the text. An empty table
 gives no files and no rows. Only id and text are read, so other columns cannot clash.
 """
 
@@ -25,21 +25,28 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .byte_bpe import tokenizer
-from .shared import file_system, new_path, publish, stored
+from .shared import file_system, new_path, stored
 
 LENGTH = 1024
 ROWS = 256
+#: Bytes of a shard, as the plan's statistics tell them.
+SHARD = 128 << 20
+TEXT = "_text_of_document"
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, length: int = LENGTH, rows: int = ROWS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Writes all documents under ``folder`` and returns the manifest: shard, docs, tokens (a row for each file).
+    """Writes all documents under ``folder`` and returns the manifest: shard, name, docs, tokens (a row for each file).
 
-    A shard is a range of ids. A retried task writes the same files again: they are written under a
-    name of their own attempt and then renamed.
+    A shard is a range of ids (and of hashes of texts, where many rows share an id) of about ``SHARD`` bytes at most. An
+    attempt of a task writes files with names of its own; the manifest has those of the attempts that count.
     """
-    ordered = docs.select(F.col(id_col), F.col(text).cast("string").alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ordered.repartitionByRange(n, F.col(id_col)).sortWithinPartitions(id_col, "text")
+    ordered = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string").alias(TEXT))
+    size = int(str(ordered._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 60:  # unknown
+        size = ordered.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
+    tie = F.xxhash64(TEXT)
+    ordered = ordered.repartitionByRange(n, F.col(f"`{id_col}`"), tie).sortWithinPartitions(F.col(f"`{id_col}`"), tie, TEXT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, context = tokenizer(path), TaskContext.get()
@@ -48,7 +55,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, length: int
         schema = pa.schema([("input_ids", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))])
         fs, root = file_system(folder)
         shard = context.partitionId()
-        name, own = f"{root}/ids-{shard:06d}.arrow", f"{root}/.{shard:06d}-{context.taskAttemptId()}"
+        name = f"{shard:06d}-{context.taskAttemptId()}"
         held: list[np.ndarray] = []
         waiting, start = 0, 0
         ids_out, starts, sizes = [], [], []
@@ -74,7 +81,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, length: int
             for batch in slices(whole, 1):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
-                    sink = fs.open_output_stream(f"{own}-ids")
+                    sink = fs.open_output_stream(f"{root}/ids-{name}.arrow")
                     writer = pa.ipc.new_stream(sink, schema)
                 ids_out.append(batch.column(0))
                 for t in batch.column(1).to_pylist():
@@ -92,27 +99,25 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, length: int
         writer.close()
         sink.close()
         table = pa.table([pa.chunked_array(ids_out), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], [id_col, "start", "n_tokens"])
-        with fs.open_output_stream(f"{own}-docs") as out, pa.ipc.new_stream(out, table.schema) as stream:
+        with fs.open_output_stream(f"{root}/docs-{name}.arrow") as out, pa.ipc.new_stream(out, table.schema) as stream:
             stream.write_table(table, max_chunksize=100_000)
-        publish(fs, f"{own}-docs", f"{root}/docs-{shard:06d}.arrow")
-        publish(fs, f"{own}-ids", name)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([start], pa.int64())], ["shard", "docs", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([len(sizes)], pa.int64()), pa.array([start], pa.int64())], ["shard", "name", "docs", "tokens"])
 
-    return stored(ordered.mapInArrow(run, "shard int, docs long, tokens long"), "manifest")
+    return stored(ordered.mapInArrow(run, "shard int, name string, docs long, tokens long"), "manifest")
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame, id_col: str = "doc_id", id_type: str = "bigint", with_ids: bool = False) -> DataFrame:
     """Reads the files back: id, start (ids of all documents before), n_tokens, ids_crc32 (and ids)."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    shards = manifest.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
+    shards = manifest.select("name", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [id_col, "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
         for batch in batches:
-            for shard, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with fs.open_input_file(f"{root}/docs-{shard:06d}.arrow") as a, fs.open_input_file(f"{root}/ids-{shard:06d}.arrow") as b:
+            for name, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with fs.open_input_file(f"{root}/docs-{name}.arrow") as a, fs.open_input_file(f"{root}/ids-{name}.arrow") as b:
                     ids = _Ids(pa.ipc.open_stream(b))
                     for docs in pa.ipc.open_stream(a):
                         crc, values = [], []
@@ -129,7 +134,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, id_col: str = "d
                         yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return shards.repartition(n, "shard").mapInArrow(run, schema)
+    return shards.repartition(n, "name").mapInArrow(run, schema)
 
 
 class _Ids:

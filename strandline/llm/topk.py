@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import file_system, new_path, publish, stored
+from .shared import file_system, new_path, stored
 
 TREE, LEAF, FAN, QUERIES = 16_384, 128, 16, 512
 SLACK = 1e-9
@@ -212,11 +212,12 @@ class Tree:
                     bounded(i, -best[i][-1][0])
 
 
-def _write(fs, path: str, data: bytes) -> None:
-    own = f"{path}.{TaskContext.get().taskAttemptId()}"
-    with fs.open_output_stream(own) as out:
+def _write(fs, root: str, name: str, data: bytes) -> str:
+    """Writes a file under a name of this attempt's own and returns it; only committed attempts' names are read."""
+    own = f"{name}-{TaskContext.get().taskAttemptId()}"
+    with fs.open_output_stream(f"{root}/{own}") as out:
         out.write(data)
-    publish(fs, own, path)  # a retried task writes the same again
+    return own
 
 
 def search(table: DataFrame, k: int = 5, every: int = 50, times: int = 256, vector: str = "embedding", id_col: str = "vec_id", tree_rows: int = TREE, query_rows: int = QUERIES) -> DataFrame:
@@ -241,10 +242,9 @@ def search(table: DataFrame, k: int = 5, every: int = 50, times: int = 256, vect
             ids, v = ids[by], v[by]
             fs, root = file_system(folder)
             fs.create_dir(root, recursive=True)
-            name = f"{kind}-{width}-{one}"
             if kind == "queries":
                 np.savez(out := io.BytesIO(), ids=ids, vectors=v)
-            _write(fs, f"{root}/{name}", out.getvalue() if kind == "queries" else dump(ids, whole(v, times)))
+            name = _write(fs, root, f"{kind}-{width}-{one}", out.getvalue() if kind == "queries" else dump(ids, whole(v, times)))
             return pa.table({"width": pa.array([width], pa.int32()), "number": pa.array([one], pa.int32()), "name": [name]})
 
         grouped = of.withColumn("number", F.pmod(F.xxhash64("id", "row"), number).cast("int")).groupBy("width", "number")
@@ -258,31 +258,29 @@ def search(table: DataFrame, k: int = 5, every: int = 50, times: int = 256, vect
     tasks = trees.join(smallest, "width").join(blocks, "width")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
-    def met(of: DataFrame, seeded: bool) -> DataFrame:
+    def met(of: DataFrame) -> DataFrame:
+        """``of``: tree, queries, least (place, score) of the queries that have a bound already."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, root = file_system(folder)
-
-            def read(name: str):
-                with fs.open_input_stream(f"{root}/{name}") as f:
-                    return np.load(io.BytesIO(f.read()))
-
             for batch in batches:
-                for name, block in zip(batch.column("tree").to_pylist(), batch.column("queries").to_pylist(), strict=True):
-                    got = read(block)
+                for name, block, known in zip(*(batch.column(c).to_pylist() for c in ("tree", "queries", "least")), strict=True):
+                    with fs.open_input_stream(f"{root}/{block}") as f:
+                        got = np.load(io.BytesIO(f.read()))
                     ids, v = got["ids"], whole(got["vectors"], times)
-                    least = [int(x) if x else None for x in read(f"{block}-least")["least"].tolist()] if seeded else None
+                    bounds = {x["place"]: x["score"] for x in known or []}
                     with fs.open_input_file(f"{root}/{name}") as file:
-                        best = Tree(file).search(ids, v, k, least)
-                    if not seeded:
-                        np.savez(out := io.BytesIO(), least=np.array([str(-b[-1][0]) if len(b) == k and -b[-1][0] > LEAST else "" for b in best]))
-                        _write(fs, f"{root}/{block}-least", out.getvalue())
+                        best = Tree(file).search(ids, v, k, [bounds.get(i) for i in range(len(ids))])
                     flat = [(int(ids[i]), i, block, j, -s) for i, b in enumerate(best) for s, j in b]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat, strict=True) if flat else [[]] * 5, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["query_id", "place", "block", "vec_id", "score"])
 
-        return of.repartition(parts, "tree", "queries").mapInArrow(run, "query_id bigint, place bigint, block string, vec_id bigint, score bigint")
+        return of.repartition(parts, "tree", "queries").select("tree", "queries", "least").mapInArrow(run, "query_id bigint, place bigint, block string, vec_id bigint, score bigint")
 
-    first = stored(met(tasks.where("tree_number = smallest"), False), "search-first")
-    found = first.unionByName(met(tasks.where("tree_number > smallest"), True))
+    none = F.lit(None).cast("array<struct<place:bigint,score:bigint>>").alias("least")
+    first = stored(met(tasks.where("tree_number = smallest").select("tree", "queries", none)), "search-first")
+    kth = first.groupBy("block", "place").agg(F.count("*").alias("n"), F.min("score").alias("score")).where((F.col("n") == k) & (F.col("score") > LEAST))
+    least = kth.groupBy(F.col("block").alias("queries")).agg(F.collect_list(F.struct("place", "score")).alias("least"))  # one for each query of a block
+    found = first.unionByName(met(tasks.where("tree_number > smallest").join(least, "queries", "left")))
     # a query row is told by its block and place, since ids may repeat
     rank = F.row_number().over(Window.partitionBy("query_id", "block", "place").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
