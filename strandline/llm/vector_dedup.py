@@ -6,8 +6,10 @@ hashes of ``functions`` rotations. Besides its own bucket a vector is put into t
 (multiprobe: one hash replaced by its runner-up, smallest gaps first), and all that meet in a bucket are
 verified by their cosine in double precision.
 
-Equal vectors of a label are one row from the start and count with their number. A bucket is cut into
-tiles of bounded size; a tile gives sums of links for each vector and a forest of the links, not pairs.
+Equal vectors of a label are one row from the start and count with their number. A bucket of up to ``block`` vectors
+is compared in one task. The vectors of a larger one are written once, as files of about ``block`` vectors in the shared
+folder, and its pairs of files, which are rows of names alone, are compared in any task; a task sums up before it
+gives rows. What a comparison gives are sums of links for each vector and a forest of the links, not pairs.
 A pair that meets in several buckets counts in the first of them.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those without a label or
@@ -18,17 +20,21 @@ empty one. Only id, label and vector are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, runs, stars, tiles, whole_runs
-from .shared import stored
+from .components import components, runs, stars, whole_runs
+from .shared import file_system, new_path, stored
 
 TABLES, FUNCTIONS, PROBES, SEED, BLOCK = 5, 2, 1, 20_240, 2048
+#: Sums of links that a task holds before it gives them.
+SUMS = 500_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -174,12 +180,65 @@ def links(classes: DataFrame, least: float, block: int = BLOCK, **hashing: int)
     schema = f"label {kinds['label']}, id bigint, node bigint, n bigint, v {kinds['v']}, width int, keys array<bigint>"
     coded = stored(classes.select("id", "node", "n", "label", "v").mapInArrow(code, schema), "vector-codes")
     keys = ["label", "bucket", "width"]
-    # buckets are counted and cut by ids alone; vectors join those that share one
-    members = coded.select("label", "width", "node", F.explode("keys").alias("bucket"))
-    dealt = tiles(members, keys, "node", block, least=2).drop("_n").join(coded.select("node", "id", "n", "v", "keys"), "node")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, *keys, "tile").sortWithinPartitions(*keys, "tile")
-    return dealt.select(*keys, "tile", "own", "id", "node", "n", "v", "keys").mapInArrow(meet, "a bigint, b bigint, n bigint")
+    # buckets are counted and dealt by ids alone; vectors join those that share one
+    members = coded.select("label", "width", "node", F.explode("keys").alias("bucket"))
+    sizes = stored(members.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1"), "vector-buckets")
+    shared = members.join(sizes, keys).join(coded.select("node", "id", "n", "v", "keys"), "node")
+    small = shared.where(F.col("size") <= block).repartition(parts, *keys).sortWithinPartitions(*keys)
+    result = "a bigint, b bigint, n bigint"
+    within = small.select(*keys, F.lit(0).alias("tile"), F.lit(-1).alias("own"), "id", "node", "n", "v", "keys").mapInArrow(meet, result)
+    if sizes.where(F.col("size") > block).isEmpty():
+        return within
+    folder = new_path(classes.sparkSession, "vector-blocks")
+
+    def write(key: tuple, group: pa.Table) -> pa.Table:
+        fs, root = file_system(folder)
+        fs.create_dir(root, recursive=True)
+        label, bucket, width, number = (x.as_py() for x in key)
+        name = f"{uuid.uuid4().hex}"  # only names that come from committed tasks are read
+        rows = group.select(["id", "node", "n", "v", "keys"])
+        with fs.open_output_stream(f"{root}/{name}") as out, pa.ipc.new_stream(out, rows.schema) as stream:
+            stream.write_table(rows)
+        return pa.table({"label": pa.array([label], pa.string()), "bucket": pa.array([bucket], pa.int64()), "width": pa.array([width], pa.int32()), "number": pa.array([number], pa.int32()), "name": [name]})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(folder)
+        sums: dict[int, int] = {}
+
+        def read(name: str) -> pa.Table:
+            with fs.open_input_stream(f"{root}/{name}") as f:
+                return pa.ipc.open_stream(f).read_all()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.nulls(len(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["a", "b", "n"])
+            sums.clear()
+            return out
+
+        last, left = None, None
+        for batch in batches:
+            for bucket, width, one, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if one != last:
+                    last, left = one, read(one)
+                right = left.slice(0, 0) if one == other else read(other)
+                own = np.full(len(left), -1) if one == other else np.r_[np.zeros(len(left), np.int64), np.ones(len(right), np.int64)]
+                table = pa.concat_tables([left, right]).combine_chunks()
+                for out in tile_links(table, bucket, width, own, *(table.column(c).to_numpy() for c in ("id", "node", "n"))):
+                    linked = pc.is_valid(out.column("b"))
+                    yield out.filter(linked)
+                    counted = out.filter(pc.invert(linked))
+                    for node, n in zip(counted.column("a").to_pylist(), counted.column("n").to_pylist(), strict=True):
+                        sums[node] = sums.get(node, 0) + n
+                if len(sums) > SUMS:
+                    yield flush()
+        yield flush()
+
+    large = shared.where(F.col("size") > block).withColumn("number", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int"))
+    names = stored(large.groupBy(*keys, "number").applyInArrow(write, "label string, bucket bigint, width int, number int, name string"), "vector-files")
+    one = names.select(*keys, F.col("number").alias("i"), F.col("name").alias("one"))
+    pairs = one.join(names.select(*keys, F.col("number").alias("j"), F.col("name").alias("other")), keys).where("i <= j").select("bucket", "width", "one", "other")
+    across = pairs.repartition(parts, "one", F.pmod(F.xxhash64("other"), F.lit(8))).sortWithinPartitions("one").select("bucket", "width", "one", "other").mapInArrow(compare, result)
+    return within.unionByName(across)
 
 
 def near_duplicates(table: DataFrame, least: float = 0.98, vector: str = "embedding", label: str = "label", id_col: str = "vec_id", block: int = BLOCK, **hashing: int) -> DataFrame:
