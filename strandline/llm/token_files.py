@@ -29,7 +29,7 @@ from .shared import file_system, new_path, stored
 
 LENGTH = 1024
 ROWS = 256
-#: Bytes of a shard, as the plan's statistics tell them.
+#: Bytes of a shard's texts, or fewer.
 SHARD = 128 << 20
 TEXT = "_text_of_document"
 
@@ -41,9 +41,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, length: int
     attempt of a task writes files with names of its own; the manifest has those of the attempts that count.
     """
     ordered = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string").alias(TEXT))
-    size = int(str(ordered._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 60:  # unknown
-        size = ordered.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
+    size = ordered.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
     tie = F.xxhash64(TEXT)
     ordered = ordered.repartitionByRange(n, F.col(f"`{id_col}`"), tie).sortWithinPartitions(F.col(f"`{id_col}`"), tie, TEXT)
