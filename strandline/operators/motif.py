@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import CONTEXT, context, revcomp
-from .sequences import pieces, whole
+from .sequences import pieces, spread, whole
 
 #: Characters that make a pattern a regular expression.
 SPECIAL = set("[]()|*+?.{}^$")
@@ -62,7 +62,8 @@ def find_literal(sequences: DataFrame, pattern: str, strand: str | None = None,
     """All occurrences of a literal, case aside. Hits of the minus strand are those of the reverse complement,
     which a palindrome does not have apart from its own.
 
-    Column functions only, and no shuffle; with ``long_records`` sequences are cut into pieces first.
+    Column functions only, and no shuffle; with ``long_records`` sequences are cut into pieces first, which are dealt
+    anew if there are fewer partitions than cores.
     """
     folded = pattern.upper()
     plus, minus = _strands(strand)
@@ -73,7 +74,7 @@ def find_literal(sequences: DataFrame, pattern: str, strand: str | None = None,
     if not m or not words:
         return _no_matches(sequences)
     base = sequences.select("seq_id", F.upper("sequence").alias("sequence"))
-    cut_up = pieces(base, around, m - 1 + around) if long_records else whole(base)
+    cut_up = spread(pieces(base, around, m - 1 + around)) if long_records else whole(base)
     hits = []
     for sign, word in words:
         found = F.transform(_positions(word), lambda p: F.struct((F.col("offset") + p - F.col("lead")).alias("position"), context(F.col("piece"), p, F.lit(m), around).alias("context")))

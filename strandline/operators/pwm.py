@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import CONTEXT
 from ..functions.pssm import BASES, DEFAULT_THRESHOLD, Pssm
+from .sequences import pieces, spread, whole
 
 #: Windows scored at once.
 BLOCK = 1 << 20
@@ -30,11 +31,12 @@ def window_scores(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return total
 
 
-def scan(sequences: DataFrame, pssm: Pssm, strand: str | None = None, threshold: float = DEFAULT_THRESHOLD, around: int = CONTEXT, scores: bool = False) -> DataFrame:
+def scan(sequences: DataFrame, pssm: Pssm, strand: str | None = None, threshold: float = DEFAULT_THRESHOLD, around: int = CONTEXT, scores: bool = False, long_records: bool = False) -> DataFrame:
     """Matches of both strands or one; ``threshold`` is in percent of the way from the smallest score to the largest.
 
     On the minus strand the reverse complement is scanned and positions are turned round; contexts are forward.
     With ``scores`` also ``score``. A record's windows are scored in blocks, in Arrow batches, without a shuffle.
+    With ``long_records`` sequences are cut into pieces first, which are dealt anew if there are fewer partitions than cores.
     """
     least, length = pssm.least(threshold), pssm.length
     table = np.array([[np.nan if s is None else s for s in row] for row in pssm.scores] + [[np.nan] * length])
@@ -42,7 +44,7 @@ def scan(sequences: DataFrame, pssm: Pssm, strand: str | None = None, threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, offset, lead, core, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = (text or "").encode("ascii", "replace")
                 forward = _CODE[np.frombuffer(raw, np.uint8)]
                 for sign in signs:
@@ -50,19 +52,22 @@ def scan(sequences: DataFrame, pssm: Pssm, strand: str | None = None, threshold:
                     for a in range(0, max(len(codes) - length + 1, 0), BLOCK):
                         got = window_scores(codes[a : a + BLOCK + length - 1], table)
                         at = np.flatnonzero(got >= least)  # NaN never is
-                        if not len(at):
-                            continue
                         value, at = got[at], at + a
                         if sign == "-":
                             at = len(codes) - at - length
+                        own = (at >= lead) & (at < lead + core)
+                        value, at = value[own], at[own]
+                        if not len(at):
+                            continue
                         near = [text[max(p - around, 0) : p + length + around] for p in at.tolist()]
-                        cols = {"seq_id": pa.array([name] * len(at), pa.string()), "position": pa.array(at.astype(np.int64)), "match_length": pa.array(np.full(len(at), length, np.int64)), "strand": pa.array([sign] * len(at)), "context": pa.array(near, pa.string())}
+                        cols = {"seq_id": pa.array([name] * len(at), pa.string()), "position": pa.array(at.astype(np.int64) + (offset - lead)), "match_length": pa.array(np.full(len(at), length, np.int64)), "strand": pa.array([sign] * len(at)), "context": pa.array(near, pa.string())}
                         if scores:
                             cols["score"] = pa.array(value)
                         yield pa.RecordBatch.from_pydict(cols)
 
     schema = "seq_id string, position long, match_length long, strand string, context string" + ", score double" * scores
-    return sequences.select(F.col("seq_id").cast("string"), "sequence").mapInArrow(run, schema)
+    parts = spread(pieces(sequences, around, length - 1 + around)) if long_records else whole(sequences)
+    return parts.select("seq_id", "offset", "lead", "core", "piece").mapInArrow(run, schema)
 
 
 def scan_native(sequences: DataFrame, pssm: Pssm, strand: str = "+", threshold: float = DEFAULT_THRESHOLD) -> DataFrame:

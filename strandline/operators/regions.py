@@ -50,8 +50,13 @@ def _overlap_join(a: DataFrame, b: DataFrame, keep: bool, size: int) -> DataFram
     Rows within one bin are decided there, by a semi or anti join on (chr, bin). Of rows over several bins the
     distinct spans are spread over their bins, and rows are then decided by their span. An empty region that
     begins a bin may lie inside one that ends in it, and is put into the bin before too.
+
+    Of the regions of ``b`` that begin at one place the longest decides, and where a bin is entered from before it does
+    not matter how far before, so ``b`` is at most size + 1 rows a bin, aggregated before the shuffle.
     """
-    spans = b.select(F.col("chr").alias("b_chr"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.explode(_bins(size)).alias("b_bin")).distinct()
+    spread = b.select(F.col("chr").alias("b_chr"), "start", F.col("end").alias("b_end"), F.explode(_bins(size)).alias("b_bin"))
+    begins = F.greatest(F.col("start"), F.col("b_bin") * size - 1).alias("b_start")
+    spans = spread.groupBy("b_chr", "b_bin", begins).agg(F.max("b_end").alias("b_end"))
     meets = (F.col("chr") == F.col("b_chr")) & (F.col("bin") == F.col("b_bin")) & (F.col("start") < F.col("b_end")) & (F.col("end") > F.col("b_start"))
     one = _one_bin(size) & (F.col("start") < F.col("end"))
     how = "left_semi" if keep else "left_anti"

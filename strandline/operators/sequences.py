@@ -14,6 +14,8 @@ PIECE = 16_384
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt anew if it comes in fewer partitions than there are cores, as from one small file; else as it is."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

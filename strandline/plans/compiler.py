@@ -83,7 +83,7 @@ class Compiler:
 
     def _scan(self, s: Scan) -> DataFrame:
         threshold = DEFAULT_THRESHOLD if s.threshold is None or (s.threshold == 0 and not self.semantics.zero_threshold) else s.threshold
-        found = pwm.scan(self.sequences, self.matrices[s.matrix], s.strand, threshold, scores=True)
+        found = pwm.scan(self.sequences, self.matrices[s.matrix], s.strand, threshold, scores=True, long_records=self.long_records)
         return found.withColumn("ord", F.struct("seq_id", "position", "strand", "match_length"))
 
     def _matches(self, s, matches: DataFrame) -> DataFrame:

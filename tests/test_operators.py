@@ -102,6 +102,25 @@ def test_scan(spark, seq, name, length, top, low, plus, minus):
     assert pssm.percent(m, m.max_score) == 100 and pssm.percent(m, m.min_score - 1) == 0
 
 
+def test_scan_of_pieces_equals_scan_of_records(spark):
+    rng = random.Random(2)
+    rows = [(n, "".join(rng.choice("ACGTacgtN") for _ in range(size))) for n, size in (("a", 50_000), ("b", 16_384), ("c", 16_390), ("d", 8))]
+    df = spark.createDataFrame([*rows, ("e", None), ("f", "")], "seq_id string, sequence string").coalesce(1)
+    m = pssm.pssm(jaspar.parse_jaspar(matrices.TEXTS["MA0002.2_RUNX1"]))
+    whole, cut = (sorted(map(tuple, pwm.scan(df, m, threshold=50, scores=True, long_records=x).collect())) for x in (False, True))
+    assert whole == cut and len(whole) > 1000
+    assert {p // 16_384 for n, p, *_ in cut if n == "a"} == {0, 1, 2, 3}
+
+
+def test_overlaps_of_a_dense_bin(spark):
+    """Regions that all begin in few places are few rows once they are aggregated."""
+    schema = "chr string, start long, end long, strand string, type string, name string, sequence string"
+    b = spark.range(0, 20_000, 1, 4).select(F.lit("x").alias("chr"), (F.col("id") % 3 * 100).alias("start"), (F.col("id") % 3 * 100 + 1 + F.col("id") % 40).alias("end"), F.lit("+").alias("strand"), F.lit("b").alias("type"), F.col("id").cast("string").alias("name"), F.lit("").alias("sequence"))
+    a = spark.createDataFrame([("x", s, s + 1, "+", "a", f"a{s}", "") for s in range(300)], schema)
+    assert sorted(r.start for r in regions.intersect(a, b).collect()) == [s for s in range(300) if s % 100 < 40]
+    assert sorted(r.start for r in regions.except_(a, b, 64).collect()) == [s for s in range(300) if s % 100 >= 40]
+
+
 def test_jaspar_forms():
     m = jaspar.parse_jaspar(">id\n1 2x 3\n4 5 6\n\n7 8 9e0\n[ 1 1 -2.5 ]\n", "f")
     assert (m.id, m.name, m.counts) == ("id", "id", ((1, 2, 3), (4, 5, 6), (7, 8, 9), (1, 1, -2.5)))
