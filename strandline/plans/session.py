@@ -12,10 +12,11 @@ from ..semantics import DOCUMENTED, PROFILES, Semantics
 from ..sources.fasta import read_fasta
 from ..sources.gff3 import read_gff3
 from ..sources.jaspar import read_jaspar
+from ..sources.tables import written
 from .analysis import ANNOTATION, MATRIX, RESULT, SEQUENCES, analyze
 from .compiler import Compiler
 from .errors import SemanticError
-from .syntax import Find, Load, Scan, parse
+from .syntax import Find, Load, Scan, SetOp, parse
 
 SHOWN, BASES_SHOWN = 20, 60
 
@@ -87,20 +88,32 @@ class Session:
     # ---
 
     def run(self, script: str) -> list[Result]:
-        """Results of all statements but LOADs. Checks come first: a script with an error runs nothing."""
+        """Results of all statements but LOADs. Checks come first: a script with an error runs nothing.
+
+        A set that a later set operation of the script names is written to the shared folder, since such an operation
+        reads its sets more than once and chains of them would search again for each; all else is lazy.
+        """
         statements = parse(script)
         kinds = analyze(statements, self.kinds, self.semantics, self._exists)
         out = []
-        for s in statements:
+        for k, s in enumerate(statements):
             if isinstance(s, Load):
                 self._load(s)
                 continue
             frame = self.compiler.compile(s)
+            if s.alias in {name for x in statements[k + 1 :] if isinstance(x, SetOp) for name in (x.left, x.right)}:
+                frame = self._once(s.alias, frame)
             matches = isinstance(s, Find | Scan) and not s.alias
             out.append(Result(s, frame, "matches" if matches else "regions"))
         self.kinds = kinds
         return out
 
+    def _once(self, alias: str, frame: DataFrame) -> DataFrame:
+        """Writes the set; ``frame``, or the table if both are the same set."""
+        whole = self.compiler.results[alias]
+        self.compiler.results[alias] = written(whole, "set")
+        return self.compiler.results[alias] if frame is whole else frame
+
     def _load(self, s: Load) -> None:
         if s.kind == "SEQUENCE":
             self.register_sequences(s.alias, read_fasta(self.spark, s.path, first_only=not self.semantics.all_records))

@@ -6,7 +6,6 @@ Sequences are the A, C, G and T of each document; regions are the line items of
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -23,6 +22,7 @@ from .sources.bed import write_bed
 from .sources.fasta import read_fasta
 from .sources.gff3 import derive_promoters, derive_tss, read_gff3
 from .sources.jaspar import read_jaspar
+from .sources.tables import shared_folder
 
 MOTIF, PALINDROME, REGEX, NEAR = "CACA", "GTAC", "CG[AT]", "GATA"
 #: An invented matrix of six positions; one count is so negative that it has no score.
@@ -295,11 +295,9 @@ query("script_scan_except", f"""WITH {DNA}, a AS ({_scan_sql('+', 85)}), b AS ({
 
 def scratch(s: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster's machines share; on a local master without one, in a temporary folder."""
-    folder = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not s.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.gettempdir()}/strandline-queries"
+    folder = shared_folder(s)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 

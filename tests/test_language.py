@@ -174,3 +174,15 @@ def test_command_line(spark, folder, capsys, tmp_path):
     script.write_text("EXTRACT;")
     assert main([str(script)]) == 1 and "SyntaxErrors" in capsys.readouterr().err
     assert main([]) == 2
+
+
+def test_sets_of_set_operations_are_searched_once(spark, folder, monkeypatch):
+    script = HEAD + 'FIND MOTIF "AC" AS a; FIND MOTIF "GT" AS b; FIND MOTIF "TA" AS alone; UNION a AND b AS ab; EXCEPT ab FROM GENE AS rest; INTERSECT rest AND a;'
+    once = run(spark, folder, script)
+    plan = once[-1].frame._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "FileScan parquet" in plan
+    assert "MapInArrow" in once[2].frame._jdf.queryExecution().executedPlan().toString()  # no operation reads it
+    monkeypatch.setattr("strandline.sources.tables.shared_folder", lambda _: None)
+    lazy = run(spark, folder, script)
+    for x, y in zip(once, lazy, strict=True):
+        assert sorted(map(str, x.frame.collect())) == sorted(map(str, y.frame.collect()))
